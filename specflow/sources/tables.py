@@ -71,7 +71,7 @@ def pred_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(pkey, variable, method, fold, actual, pred)`` from lineitem."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pkey"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pkey"),
         F.col("l_returnflag").alias("variable"), F.col("l_linestatus").alias("method"),
         F.col("l_linenumber").alias("fold"),
         F.col("l_extendedprice").alias("actual"),
