@@ -197,7 +197,7 @@ def q_sens(spark, sf):
 @register("sensitivity_histogram", """
 WITH r AS (SELECT event_type, min(value) lo, max(value) hi FROM events GROUP BY event_type),
 b AS (SELECT e.event_type, e.value v, r.lo, r.hi, (r.hi - r.lo) / 20 AS step,
-             CASE WHEN r.hi = r.lo THEN 0 ELSE least(floor((e.value - r.lo) * 20 / (r.hi - r.lo)), 19) END AS g
+             CASE WHEN r.hi = r.lo THEN 0 ELSE least(floor((e.value - r.lo) / (r.hi - r.lo) * 20), 19) END AS g
       FROM events e JOIN r USING (event_type)),
 c AS (SELECT *, CASE WHEN hi <> lo AND v < (CASE WHEN g = 20 THEN hi ELSE lo + g * step END) THEN g - 1 ELSE g END AS g2 FROM b),
 d AS (SELECT *, CASE WHEN hi <> lo AND g2 <> 19 AND v >= (CASE WHEN g2 + 1 = 20 THEN hi ELSE lo + (g2 + 1) * step END)
@@ -291,3 +291,154 @@ def q_caps(spark, sf):
     """Samples (o_custkey), default iteration cap N - 2, 10 % outlier cap."""
     from specflow.operators.evaluate import iteration_caps
     return iteration_caps(tb.orders_meta(spark, sf), "sample", 10)
+
+
+# ================================================================ folds
+def _w1_sql(src: str, k: int) -> str:
+    """Grouped stratified folds over ``src(pkey, variable, s, y)``."""
+    fold = f"r.run % {k} + 1" if k else "r.run + 1"
+    return f"""
+WITH t AS ({src}),
+pairs AS (SELECT DISTINCT variable, y, s FROM t WHERE y IS NOT NULL),
+ch AS (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY variable ORDER BY y, s) IS NULL
+                        OR lag(s) OVER (PARTITION BY variable ORDER BY y, s) <> s THEN 1 ELSE 0 END AS c FROM pairs),
+r AS (SELECT variable, y, s, sum(c) OVER (PARTITION BY variable ORDER BY y, s ROWS UNBOUNDED PRECEDING) - 1 AS run FROM ch)
+SELECT t.pkey, t.variable, CAST(coalesce({fold}, -1) AS INTEGER) AS fold
+FROM t LEFT JOIN r ON t.variable = r.variable AND t.y = r.y AND t.s = r.s"""
+
+
+CUSTOMER_ACCTBAL_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS pkey, 'acctbal' AS variable, CAST(c_nationkey AS VARCHAR) AS s,
+       CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS y FROM customer"""
+CUSTOMER_NATION_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS pkey, 'nation' AS variable, CAST(c_nationkey AS VARCHAR) AS s,
+       CAST(c_nationkey AS DOUBLE) AS y FROM customer"""
+CUSTOMER_SUM_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS pkey, 'sum' AS variable, CAST(c_nationkey AS VARCHAR) AS s,
+       CASE WHEN c_acctbal >= 0 THEN c_acctbal + CAST(c_nationkey AS DOUBLE) END AS y FROM customer"""
+ORDERS_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS pkey, 'totalprice' AS variable, CAST(o_custkey AS VARCHAR) AS s,
+       o_totalprice AS y FROM orders"""
+EMB_TARGET_SQL = """
+SELECT CAST(vec_id AS VARCHAR) AS pkey, 'label' AS variable, 'S' || CAST(vec_id // 4 AS VARCHAR) AS s,
+       CAST(label AS DOUBLE) AS y FROM embeddings"""
+
+
+def _customer_targets(spark, sf):
+    from specflow.sources.io import metadata_to_targets
+    return metadata_to_targets(tb.customer_meta(spark, sf), ["acctbal"])
+
+
+@register("folds_grouped_customer", _w1_sql(CUSTOMER_ACCTBAL_SQL, 5))
+def q_folds_customer(spark, sf):
+    """Grouped stratified 5 folds of c_acctbal (negative = missing -> -1), samples = nation."""
+    from specflow.operators.folds import grouped_folds
+    return grouped_folds(_customer_targets(spark, sf), 5)
+
+
+@register("folds_grouped_orders", _w1_sql(ORDERS_SQL, 5))
+def q_folds_orders(spark, sf):
+    """W1 on orders: o_totalprice grouped by customer."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.sources.io import metadata_to_targets
+    return grouped_folds(metadata_to_targets(tb.orders_meta(spark, sf), ["totalprice"]), 5)
+
+
+@register("folds_loo_runs_orders", _w1_sql(ORDERS_SQL, 0))
+def q_folds_orders_loo(spark, sf):
+    """W1 with n_folds = 0: every run of a sample its own fold."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.sources.io import metadata_to_targets
+    return grouped_folds(metadata_to_targets(tb.orders_meta(spark, sf), ["totalprice"]), 0)
+
+
+@register("folds_ungrouped_customer", """
+SELECT pkey, variable, CAST(CASE WHEN y IS NULL THEN -1
+       ELSE (row_number() OVER (PARTITION BY variable, y IS NULL ORDER BY y, pkey) - 1) % 5 + 1 END AS INTEGER) AS fold
+FROM (""" + CUSTOMER_ACCTBAL_SQL + ")")
+def q_folds_ungrouped(spark, sf):
+    """Ungrouped stratified folds (sorted by value, ties by pkey)."""
+    from specflow.operators.folds import ungrouped_folds
+    return ungrouped_folds(_customer_targets(spark, sf), 5)
+
+
+@register("stratify_customer", f"""
+SELECT pkey, variable || '_Folds' AS fold_col, fold FROM ({_w1_sql(CUSTOMER_ACCTBAL_SQL, 5)})
+UNION ALL SELECT pkey, variable || '_Folds' AS fold_col, fold FROM ({_w1_sql(CUSTOMER_NATION_SQL, 5)})
+UNION ALL SELECT pkey, 'Folds' AS fold_col, fold FROM ({_w1_sql(CUSTOMER_SUM_SQL, 5)})""")
+def q_stratify(spark, sf):
+    """W1 + W3 + A13: one fold column per variable and the general ``Folds`` from the row sum."""
+    from specflow.operators.folds import stratify
+    m = tb.customer_meta(spark, sf)
+    return stratify(m, 5)
+
+
+@register("loo_folds_per_sample", """
+SELECT CAST(o_orderkey AS VARCHAR) AS pkey, CAST(o_custkey AS VARCHAR) AS id,
+       CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS fold FROM orders""")
+def q_loo(spark, sf):
+    """One leave-one-out fold per sample (customer), 0-based."""
+    from specflow.operators.folds import loo_folds
+    return loo_folds(tb.orders_meta(spark, sf), "sample")
+
+
+@register("cv_split_sizes", f"""
+WITH f AS ({_w1_sql(CUSTOMER_ACCTBAL_SQL, 5)}),
+g AS (SELECT fold, count(*) AS n_test FROM f WHERE fold <> -1 GROUP BY fold),
+n AS (SELECT count(*) AS n FROM f WHERE fold <> -1),
+s AS (SELECT g.fold, g.n_test, n.n - g.n_test AS n_train FROM g, n)
+SELECT fold, n_test, n_train, least(min(n_train) OVER (), min(n_test) OVER ()) AS min_samples,
+       least(40, least(min(n_train) OVER (), min(n_test) OVER ())) AS max_neighbors FROM s""")
+def q_split_sizes(spark, sf):
+    """A14 + F6 + U3: CV train/test sizes, the minimum, and the clipped kNN limit."""
+    from specflow.operators.folds import grouped_folds, split_sizes
+    f = grouped_folds(_customer_targets(spark, sf), 5)
+    s = split_sizes(f.select("fold"))
+    return s.select("fold", "n_test", "n_train", "min_samples",
+                    F.least(F.lit(40).cast("long"), F.col("min_samples")).alias("max_neighbors"))
+
+
+def _bin_sql(v, lo, hi, bins):
+    step = f"(({hi}) - ({lo})) / ({bins})"
+    g = f"CASE WHEN {hi} = {lo} THEN 0 ELSE least(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}), {bins} - 1) END"
+    edge = lambda i: f"(CASE WHEN ({i}) = {bins} THEN {hi} ELSE {lo} + ({i}) * {step} END)"
+    g2 = f"(CASE WHEN {hi} <> {lo} AND {v} < {edge(g)} THEN ({g}) - 1 ELSE {g} END)"
+    return f"CAST(CASE WHEN {hi} <> {lo} AND {g2} <> {bins} - 1 AND {v} >= {edge(g2 + ' + 1')} THEN {g2} + 1 ELSE {g2} END AS INTEGER)"
+
+
+@register("fold_representativeness", f"""
+WITH t AS ({CUSTOMER_ACCTBAL_SQL}),
+f AS ({_w1_sql(CUSTOMER_ACCTBAL_SQL, 5)}),
+d AS (SELECT t.y, f.fold FROM t JOIN f USING (pkey) WHERE t.y IS NOT NULL AND f.fold <> -1),
+s AS (SELECT count(*) AS n, min(y) AS lo, max(y) AS hi, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3,
+             quantile_cont(y, 0.5) AS med FROM d),
+fb AS (SELECT *, CAST(CASE WHEN 2 * (q3 - q1) * pow(n, -1.0 / 3.0) > 0
+                           THEN greatest(1, ceil((hi - lo) / (2 * (q3 - q1) * pow(n, -1.0 / 3.0)))) ELSE 1 END AS INTEGER) AS bins FROM s),
+b AS (SELECT d.fold, {_bin_sql('d.y', 'fb.lo', 'fb.hi', 'fb.bins')} AS bin FROM d, fb),
+allbins AS (SELECT unnest(range(0, bins)) AS bin FROM fb),
+folds AS (SELECT DISTINCT fold FROM b),
+af AS (SELECT a.bin, coalesce(c.c, 0) / (SELECT count(*) FROM b) AS fa
+       FROM allbins a LEFT JOIN (SELECT bin, count(*) AS c FROM b GROUP BY bin) c USING (bin)),
+ff AS (SELECT fo.fold, a.bin, coalesce(c.c, 0) / nf.n AS fr
+       FROM folds fo CROSS JOIN allbins a
+       LEFT JOIN (SELECT fold, bin, count(*) AS c FROM b GROUP BY fold, bin) c ON c.fold = fo.fold AND c.bin = a.bin
+       JOIN (SELECT fold, count(*) AS n FROM b GROUP BY fold) nf ON nf.fold = fo.fold),
+pairs AS (SELECT ff.fold, avg(abs(ff.fr - af.fa)) AS diff_all_pairs FROM ff CROSS JOIN af GROUP BY ff.fold),
+bw AS (SELECT ff.fold, avg(abs(ff.fr - af.fa)) AS diff_binwise FROM ff JOIN af USING (bin) GROUP BY ff.fold),
+res AS (SELECT fold, diff_all_pairs, diff_binwise FROM pairs JOIN bw USING (fold))
+SELECT 'acctbal' AS variable, fold, round(diff_all_pairs, 9) AS diff_all_pairs, round(diff_binwise, 9) AS diff_binwise,
+       (SELECT fold FROM res ORDER BY diff_all_pairs, fold LIMIT 1) AS best_all_pairs,
+       (SELECT fold FROM res ORDER BY diff_binwise, fold LIMIT 1) AS best_binwise,
+       (SELECT bins FROM fb) AS bins, (SELECT round(q3 - q1, 6) FROM fb) AS iqr, (SELECT round(med, 6) FROM fb) AS median
+FROM res""")
+def q_fold_repr(spark, sf):
+    """A11 + A12: Freedman-Diaconis histogram, per-fold fractions, all-pairs (Q1)
+    and bin-wise mean absolute difference, most representative fold."""
+    from specflow.operators.evaluate import fold_representativeness
+    from specflow.operators.folds import grouped_folds
+    t = _customer_targets(spark, sf)
+    f = grouped_folds(t, 5)
+    r = fold_representativeness(t, f)
+    return r.select("variable", "fold", _r("diff_all_pairs", 9).alias("diff_all_pairs"),
+                    _r("diff_binwise", 9).alias("diff_binwise"), "best_all_pairs", "best_binwise",
+                    "bins", _r("iqr").alias("iqr"), _r("median").alias("median"))

@@ -125,7 +125,7 @@ def equal_width_bin(v: Column, lo: Column, hi: Column, bins: Column) -> Column:
     guess is corrected against the neighbouring edges exactly as numpy does.
     """
     step = (hi - lo) / bins
-    guess = F.least(F.floor((v - lo) * bins / (hi - lo)), bins - 1)
+    guess = F.least(F.floor((v - lo) / (hi - lo) * bins), bins - 1)
     guess = F.when(hi == lo, F.lit(0)).otherwise(guess)
     edge = lambda i: F.when(i == bins, hi).otherwise(lo + i * step)
     dec = F.when((hi != lo) & (v < edge(guess)), guess - 1).otherwise(guess)
