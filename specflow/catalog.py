@@ -442,3 +442,223 @@ def q_fold_repr(spark, sf):
     return r.select("variable", "fold", _r("diff_all_pairs", 9).alias("diff_all_pairs"),
                     _r("diff_binwise", 9).alias("diff_binwise"), "best_all_pairs", "best_binwise",
                     "bins", _r("iqr").alias("iqr"), _r("median").alias("median"))
+
+
+# ================================================================ preprocessing
+SPECTRA_LONG_SQL = """
+SELECT CAST(vec_id AS VARCHAR) AS pkey, 240.0 + 10.0 * i AS wave, CAST(v AS DOUBLE) + 1.0 AS intensity
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)"""
+
+
+def _axis_sql(long_sql: str) -> str:
+    return f"SELECT CAST(row_number() OVER (ORDER BY wave) - 1 AS INTEGER) AS idx, wave FROM (SELECT DISTINCT wave FROM ({long_sql}))"
+
+
+def _edges_sql(axis_sql: str) -> str:
+    return f"""
+SELECT idx, wave,
+       CASE WHEN lag(wave) OVER w IS NULL THEN wave - (lead(wave) OVER w - wave) / 2 ELSE (lag(wave) OVER w + wave) / 2 END AS lo,
+       CASE WHEN lead(wave) OVER w IS NULL THEN wave + (wave - lag(wave) OVER w) / 2 ELSE (wave + lead(wave) OVER w) / 2 END AS hi
+FROM ({axis_sql}) WINDOW w AS (ORDER BY idx)"""
+
+
+def _resample_sql(long_sql: str, new_axis_sql: str, err: bool = False) -> str:
+    """``new_axis_sql`` may refer to ``oa`` (the old axis)."""
+    e_in = ", sqrt(sum(pow(w.overlap * l.err, 2))) / sum(w.overlap) AS error" if err else ""
+    e_fill = ", 0.0 AS error" if err else ""
+    return f"""
+WITH l AS ({long_sql}), oa AS ({_axis_sql('SELECT wave FROM l')}), na AS ({new_axis_sql}),
+oe AS ({_edges_sql('SELECT * FROM oa')}), ne AS ({_edges_sql('SELECT * FROM na')}),
+rng AS (SELECT min(lo) AS omin, max(hi) AS omax FROM oe),
+nf AS (SELECT ne.*, (ne.lo < rng.omin OR ne.hi > rng.omax) AS fill FROM ne, rng),
+w AS (SELECT nf.wave AS new_wave, oe.wave AS old_wave, least(oe.hi, nf.hi) - greatest(oe.lo, nf.lo) AS overlap
+      FROM nf JOIN oe ON oe.lo < nf.hi AND oe.hi > nf.lo WHERE NOT nf.fill)
+SELECT l.pkey, w.new_wave AS wave, sum(w.overlap * l.intensity) / sum(w.overlap) AS intensity{e_in}
+FROM l JOIN w ON l.wave = w.old_wave GROUP BY l.pkey, w.new_wave
+UNION ALL
+SELECT k.pkey, nf.wave, 0.0 AS intensity{e_fill} FROM (SELECT DISTINCT pkey FROM l) k, nf WHERE nf.fill"""
+
+
+def _long(spark, sf):
+    return tb.spectra_long(spark, sf)
+
+
+def _round_long(df, n=9, cols=("intensity",)):
+    return df.select(*[c for c in df.columns if c not in cols], *[_r(c, n).alias(c) for c in cols])
+
+
+@register("convert_spectra", f"""
+SELECT pkey, count(*) AS n_channels, round(arg_min(intensity, wave), 9) AS x_first,
+       round(arg_max(intensity, wave), 9) AS x_last, round(sum(intensity), 6) AS x_sum
+FROM ({SPECTRA_LONG_SQL}) GROUP BY pkey""")
+def q_convert(spark, sf):
+    """long rows -> one array per spectrum (wave order)."""
+    from specflow.operators.spectra import to_vec
+    v = to_vec(_long(spark, sf))
+    return v.select("pkey", F.size("x").alias("n_channels"), _r(F.col("x")[0], 9).alias("x_first"),
+                    _r(F.element_at("x", -1), 9).alias("x_last"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("x_sum"))
+
+
+@register("select_spectra_by_attribute", f"""
+SELECT s.pkey, count(*) AS n_channels, round(sum(intensity), 6) AS total
+FROM ({SPECTRA_LONG_SQL}) s SEMI JOIN (SELECT CAST(vec_id AS VARCHAR) AS pkey FROM embeddings WHERE label = 4) m
+ON s.pkey = m.pkey GROUP BY s.pkey""")
+def q_select(spark, sf):
+    """F10 + F1: metadata subset by attribute (label = 4), matching spectra by semi join."""
+    from specflow.operators.spectra import select_spectra
+    meta = tb.metadata(spark, sf).where(F.col("label") == 4)
+    s = select_spectra(tb.spectra_vec(spark, sf), meta)
+    return s.select("pkey", F.size("x").alias("n_channels"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@register("first_derivative", f"""
+SELECT pkey, wave, round(d, 9) AS intensity FROM (
+  SELECT pkey, wave, (intensity - lag(intensity) OVER w) / (wave - lag(wave) OVER w) AS d, lag(wave) OVER w AS pw
+  FROM ({SPECTRA_LONG_SQL}) WINDOW w AS (PARTITION BY pkey ORDER BY wave)) WHERE pw IS NOT NULL""")
+def q_derivative(spark, sf):
+    """First derivative of every spectrum."""
+    from specflow.operators.preprocess import first_derivative
+    return _round_long(first_derivative(_long(spark, sf)))
+
+
+def _norm_sql(regions) -> str:
+    vals = ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(regions))
+    return f"""
+SELECT l.pkey, l.wave, r.region, round(l.intensity / sum(l.intensity) OVER (PARTITION BY l.pkey, r.region), 9) AS intensity
+FROM ({SPECTRA_LONG_SQL}) l JOIN (VALUES {vals}) r(region, lo, hi) ON l.wave >= r.lo AND l.wave <= r.hi"""
+
+
+def _norm_query(preset):
+    def q(spark, sf):
+        from specflow.operators.preprocess import normalize_preset
+        return _round_long(normalize_preset(_long(spark, sf), preset))
+    q.__doc__ = f"W6 with the {preset} regions."
+    return q
+
+
+from specflow.operators.preprocess import PRESETS as _PRESETS  # noqa: E402
+
+for _name, _regions in _PRESETS.items():
+    register(f"normalize_{_name}", _norm_sql(_regions))(_norm_query(_name))
+
+
+@register("normalize_total", f"""
+SELECT pkey, wave, round(intensity / sum(intensity) OVER (PARTITION BY pkey), 9) AS intensity FROM ({SPECTRA_LONG_SQL})""")
+def q_norm_total(spark, sf):
+    """Whole-spectrum L1 normalisation."""
+    from specflow.operators.preprocess import normalize_total
+    return _round_long(normalize_total(_long(spark, sf)))
+
+
+@register("normalize_regions_vec", """
+WITH l AS (""" + SPECTRA_LONG_SQL + """),
+r AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {lo}, {hi})" for i, (lo, hi) in enumerate(_PRESETS["norm5_SC"])) + """) r(region, lo, hi)),
+n AS (SELECT l.pkey, r.region, l.wave, l.intensity / sum(l.intensity) OVER (PARTITION BY l.pkey, r.region) AS v
+      FROM l JOIN r ON l.wave >= r.lo AND l.wave <= r.hi)
+SELECT pkey, count(*) AS n_channels, round(sum(v), 6) AS total, round(max(v), 9) AS vmax FROM n GROUP BY pkey""")
+def q_norm_vec(spark, sf):
+    """W6 in array form (no shuffle): norm5_SC regions, per-row slices."""
+    from specflow.operators.preprocess import normalize_regions_vec
+    n = normalize_regions_vec(tb.spectra_vec(spark, sf), tb.axis(spark, sf), _PRESETS["norm5_SC"])
+    return n.select("pkey", F.size("x").alias("n_channels"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
+                    _r(F.array_max("x"), 9).alias("vmax"))
+
+
+@register("resample_shifted_axis", _resample_sql(SPECTRA_LONG_SQL, "SELECT idx, wave + 5.0 AS wave FROM oa")
+          .replace("sum(w.overlap * l.intensity) / sum(w.overlap) AS intensity",
+                   "round(sum(w.overlap * l.intensity) / sum(w.overlap), 9) AS intensity"))
+def q_resample(spark, sf):
+    """X1 + J7 + W14: flux-conserving resample onto the axis shifted by half a step
+    (the last new bin leaves the old range and is filled with 0)."""
+    from specflow.operators.preprocess import axis_of, resample_long
+    lg = _long(spark, sf)
+    ax = axis_of(lg)
+    new = ax.select("idx", (F.col("wave") + 5.0).alias("wave"))
+    return _round_long(resample_long(lg, new))
+
+
+COARSE_AXIS_SQL = """
+SELECT CAST(i AS INTEGER) AS idx, lo + 25.0 * i AS wave
+FROM (SELECT min(wave) AS lo, max(wave) AS hi FROM oa) m, range(0, CAST(floor((m.hi - m.lo) / 25.0) AS BIGINT) + 1) t(i)"""
+
+
+@register("resample_coarse_vec", _resample_sql(SPECTRA_LONG_SQL, COARSE_AXIS_SQL)
+          .replace("sum(w.overlap * l.intensity) / sum(w.overlap) AS intensity",
+                   "round(sum(w.overlap * l.intensity) / sum(w.overlap), 9) AS intensity"))
+def q_resample_vec(spark, sf):
+    """X1 in array form: resample onto a 25 nm axis inside each row (no shuffle)."""
+    from specflow.operators.preprocess import resample_vec
+    from specflow.operators.spectra import to_long
+    ax = tb.axis(spark, sf)
+    rng = ax.agg(F.min("wave").alias("lo"), F.max("wave").alias("hi"))
+    new = rng.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 25.0).cast("int"))).alias("idx"),
+                     "lo").select("idx", (F.col("lo") + 25.0 * F.col("idx")).alias("wave"))
+    rv = resample_vec(tb.spectra_vec(spark, sf), ax, new)
+    return _round_long(to_long(rv, new))
+
+
+@register("resample_with_errors", _resample_sql(
+    "SELECT pkey, wave, intensity, 0.05 * abs(intensity) AS err FROM (" + SPECTRA_LONG_SQL + ")",
+    COARSE_AXIS_SQL, err=True)
+    .replace("sum(w.overlap * l.intensity) / sum(w.overlap) AS intensity",
+             "round(sum(w.overlap * l.intensity) / sum(w.overlap), 9) AS intensity")
+    .replace("sqrt(sum(pow(w.overlap * l.err, 2))) / sum(w.overlap) AS error",
+             "round(sqrt(sum(pow(w.overlap * l.err, 2))) / sum(w.overlap), 9) AS error"))
+def q_resample_err(spark, sf):
+    """Resample with uncertainties (stand-in error = 5 % of |intensity|)."""
+    from specflow.operators.preprocess import axis_of, resample_long
+    lg = _long(spark, sf).withColumn("err", 0.05 * F.abs("intensity"))
+    ax = axis_of(lg)
+    rng = ax.agg(F.min("wave").alias("lo"), F.max("wave").alias("hi"))
+    new = rng.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 25.0).cast("int"))).alias("idx"),
+                     "lo").select("idx", (F.col("lo") + 25.0 * F.col("idx")).alias("wave"))
+    out = resample_long(lg, new, errors="err")
+    return _round_long(out, 9, ("intensity", "error"))
+
+
+BAND = 503.0
+
+
+@register("band_normalize", f"""
+WITH r AS ({_resample_sql(SPECTRA_LONG_SQL, f"SELECT CAST(row_number() OVER (ORDER BY wave) - 1 AS INTEGER) AS idx, wave FROM (SELECT wave FROM oa UNION ALL SELECT {BAND})")}),
+b AS (SELECT pkey, intensity AS bv FROM r WHERE wave = {BAND})
+SELECT r.pkey, r.wave, round(r.intensity / b.bv, 9) AS intensity FROM r JOIN b USING (pkey) WHERE r.wave <> {BAND}""")
+def q_band(spark, sf):
+    """X5 + T5 + Q6: normalise to the intensity at 503 nm (not a channel: inserted, resampled, dropped)."""
+    from specflow.operators.preprocess import band_normalize
+    return _round_long(band_normalize(_long(spark, sf), BAND))
+
+
+@register("closest_channel", f"""
+SELECT idx, wave FROM ({_axis_sql(SPECTRA_LONG_SQL)}) ORDER BY abs(wave - {BAND}), idx LIMIT 1""")
+def q_closest(spark, sf):
+    """T5: channel nearest the band."""
+    from specflow.operators.preprocess import axis_of, closest_channel
+    return closest_channel(axis_of(_long(spark, sf)), BAND)
+
+
+@register("min_step_axis", f"""
+WITH a AS ({_axis_sql(SPECTRA_LONG_SQL)}),
+s AS (SELECT min(d) AS step, min(wave) AS first, max(wave) AS last
+      FROM (SELECT wave, wave - lag(wave) OVER (ORDER BY idx) AS d FROM a))
+SELECT CAST(i AS INTEGER) AS idx, first + i * step AS wave
+FROM s, range(0, CAST(ceil((last + step - first) / step) AS BIGINT)) t(i)""")
+def q_min_step(spark, sf):
+    """Uniform axis with the minimum step (arange semantics)."""
+    from specflow.operators.preprocess import axis_of, min_step_axis
+    return min_step_axis(axis_of(_long(spark, sf)))
+
+
+@register("drop_channels_audit", f"""
+WITH l AS ({SPECTRA_LONG_SQL}), a AS ({_axis_sql(SPECTRA_LONG_SQL)}),
+k AS (SELECT l.* FROM l JOIN a USING (wave) WHERE a.idx NOT IN (31, 63))
+SELECT (SELECT count(*) FROM l) AS rows_before, count(*) AS rows_after, (SELECT count(*) FROM l) - count(*) AS rows_dropped,
+       count(DISTINCT wave) AS channels_after, count(*) FILTER (WHERE intensity IS NULL) AS null_values FROM k""")
+def q_audit(spark, sf):
+    """drop two named channels (the last of each half), null audit and dropped-row count."""
+    from specflow.operators.preprocess import axis_of, drop_channels_audit
+    lg = _long(spark, sf)
+    return drop_channels_audit(lg, axis_of(lg), [31, 63])

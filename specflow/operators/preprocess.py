@@ -168,7 +168,7 @@ def resample_vec(vec: DataFrame, old_axis: DataFrame, new_axis: DataFrame, fill:
     wts = resample_weights(old_axis, new_axis)
     per_bin = wts.groupBy("new_idx").agg(
         F.first("fill").alias("fill"),
-        F.collect_list(F.struct("old_idx", "overlap")).alias("e"))
+        F.array_sort(F.collect_list(F.struct("old_idx", "overlap"))).alias("e"))
     spec = per_bin.agg(F.array_sort(F.collect_list(F.struct("new_idx", "fill", "e"))).alias("bins"))
     j = attach(vec, spec)
 
