@@ -662,3 +662,189 @@ def q_audit(spark, sf):
     from specflow.operators.preprocess import axis_of, drop_channels_audit
     lg = _long(spark, sf)
     return drop_channels_audit(lg, axis_of(lg), [31, 63])
+
+
+# ================================================================ modelling
+EMB_X_SQL = """
+SELECT CAST(vec_id AS VARCHAR) AS pkey, CAST(i AS INTEGER) AS i, CAST(v AS DOUBLE) + 1.0 AS x
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)"""
+
+
+def _emb_rows(spark, sf, n_folds=5):
+    from specflow.operators.folds import grouped_folds
+    from specflow.operators.spectra import modelling_rows
+    tg = tb.targets(spark, sf)
+    return modelling_rows(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, n_folds))
+
+
+@register("gram_by_fold", f"""
+WITH f AS ({_w1_sql(EMB_TARGET_SQL, 5)}), s AS ({EMB_X_SQL})
+SELECT f.variable, f.fold, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS v
+FROM f JOIN s a ON a.pkey = f.pkey JOIN s b ON b.pkey = f.pkey AND a.i <= b.i
+GROUP BY f.variable, f.fold, a.i, b.i""")
+def q_gram(spark, sf):
+    """M0: per-fold Gram X'X of the 64-channel spectra from per-partition partial sums."""
+    from specflow.operators.moments import gram_long
+    g = gram_long(_emb_rows(spark, sf), ["variable"], "fold")
+    return g.select("variable", "fold", "i", "j", _r("v").alias("v"))
+
+
+@register("ols_from_moments", """
+SELECT l_returnflag AS variable, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
+       round(regr_slope(l_extendedprice, l_quantity), 6) AS slope
+FROM lineitem GROUP BY l_returnflag""")
+def q_ols(spark, sf):
+    """M0 + M1: OLS solved from moments (y = l_extendedprice, x = l_quantity per l_returnflag)."""
+    from specflow.operators.moments import fold_moments
+    from specflow.plans.linear import fit_chosen
+    li = tb.table(spark, sf, "lineitem")
+    d = li.select(F.col("l_returnflag").alias("variable"), F.lit(0).alias("fold"),
+                  F.col("l_extendedprice").alias("y"), F.array(F.col("l_quantity")).alias("x"))
+    mom, sh = fold_moments(d, ["variable"])
+    chosen = d.select("variable").distinct().select("variable", F.lit("OLS").alias("method"), F.lit("NA").alias("param"))
+    m = fit_chosen(mom, chosen, ["variable"], sh)
+    return m.select("variable", _r("intercept").alias("intercept"), _r(F.col("coef")[0]).alias("slope"))
+
+
+def _knn_sql() -> str:
+    return f"""
+WITH f AS ({_w1_sql(EMB_TARGET_SQL, 5)}),
+t AS (SELECT f.pkey, f.fold, CAST(e.label AS DOUBLE) AS y, list_transform(e.embedding, lambda v: CAST(v AS DOUBLE) + 1.0) AS x
+      FROM f JOIN embeddings e ON f.pkey = CAST(e.vec_id AS VARCHAR) WHERE f.fold <> -1),
+sz AS (SELECT fold, count(*) AS n FROM t GROUP BY fold),
+cap AS (SELECT least(40, least(min(n), min((SELECT count(*) FROM t) - n))) AS mx FROM sz),
+pr AS (SELECT q.pkey AS qk, q.fold, q.y AS qy, c.pkey AS ck, c.y AS cy, list_distance(q.x, c.x) AS d
+       FROM t q JOIN t c ON q.fold <> c.fold),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY d, ck) AS k FROM pr),
+top AS (SELECT * FROM rk WHERE k <= (SELECT CASE WHEN mx > 1 THEN mx - 1 ELSE 1 END FROM cap)),
+run AS (SELECT qk, fold, qy, k,
+               sum(cy) OVER w / k AS pu,
+               sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER w AS n0,
+               sum(CASE WHEN d = 0 THEN cy ELSE 0 END) OVER w AS s0,
+               sum(CASE WHEN d = 0 THEN 0 ELSE 1 / d END) OVER w AS sw,
+               sum(CASE WHEN d = 0 THEN 0 ELSE cy / d END) OVER w AS swy
+        FROM top WINDOW w AS (PARTITION BY qk ORDER BY k ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT fold, k, 0 AS wt, (qy - pu) ^ 2 AS e2 FROM run
+      UNION ALL SELECT fold, k, 1 AS wt, (qy - CASE WHEN n0 > 0 THEN s0 / n0 ELSE swy / sw END) ^ 2 AS e2 FROM run),
+cv AS (SELECT k, wt, avg(r) AS rmsecv FROM (SELECT fold, k, wt, sqrt(avg(e2)) AS r FROM e GROUP BY fold, k, wt) GROUP BY k, wt)"""
+
+
+@register("knn_cv_grid", _knn_sql() + """
+SELECT 'label' AS variable, CAST((k - 1) * 2 + wt AS INTEGER) AS pos,
+       'n_neighbors=' || CAST(k AS VARCHAR) || ' weights=' || CASE WHEN wt = 0 THEN 'uniform' ELSE 'distance' END AS param,
+       round(rmsecv, 9) AS rmsecv FROM cv""")
+def q_knn_cv(spark, sf):
+    """M14 + J9 + T4: exact blocked kNN, every (k, weights) RMSECV from one neighbour list."""
+    return _knn_cv_table(spark, sf).select("variable", "pos", "param", _r("rmsecv", 9).alias("rmsecv"))
+
+
+def _knn_cv_table(spark, sf):
+    from specflow.operators.folds import split_sizes
+    from specflow.operators.knn import knn_cv
+    from specflow.plans.linear import rmsecv_table
+    d = _emb_rows(spark, sf).persist()
+    ms = split_sizes(d.select("fold")).agg(F.min("min_samples")).first()[0]
+    cv = knn_cv(d, ["variable"], min(40, int(ms)))
+    return rmsecv_table(cv, ["variable"])
+
+
+@register("knn_choice", _knn_sql() + """,
+c AS (SELECT rmsecv, min((k - 1) * 2 + wt) AS pos, arg_max(k, (k - 1) * 2 + wt) AS kk,
+             arg_max(wt, (k - 1) * 2 + wt) AS ww FROM cv GROUP BY rmsecv)
+SELECT 'label' AS variable, 'kNN' AS method, CAST(pos AS INTEGER) AS pos,
+       'n_neighbors=' || CAST(kk AS VARCHAR) || ' weights=' || CASE WHEN ww = 0 THEN 'uniform' ELSE 'distance' END AS param,
+       round(rmsecv, 9) AS rmsecv
+FROM c ORDER BY rmsecv, pos LIMIT 1""")
+def q_knn_choice(spark, sf):
+    """M14 + W13 + Q3: global-minimum choice over the tie-collapsed kNN grid."""
+    from specflow.operators.selection import choose
+    ch = choose(_knn_cv_table(spark, sf), ["variable"])
+    return ch.select("variable", "method", "pos", "param", _r("rmsecv", 9).alias("rmsecv"))
+
+
+UNIV_MODEL_SQL = f"""
+l AS ({SPECTRA_LONG_SQL}),
+m AS (SELECT CAST(vec_id AS VARCHAR) AS pkey, CAST(label AS DOUBLE) AS y FROM embeddings),
+c AS (SELECT wave, regr_slope(y, intensity) / (SELECT count(DISTINCT wave) FROM l) AS coef, avg(intensity) AS mx
+      FROM l JOIN m USING (pkey) GROUP BY wave),
+b AS (SELECT (SELECT avg(y) FROM m) - sum(coef * mx) AS b0 FROM c),
+p AS (SELECT l.pkey, sum(l.intensity * c.coef) + (SELECT b0 FROM b) AS pred FROM l JOIN c USING (wave) GROUP BY l.pkey)"""
+
+
+def _univariate_model(spark, sf):
+    """Stand-in linear model fitted by Spark from the tables: per channel the
+    univariate slope of label on intensity / channel count; intercept from means."""
+    lg = tb.spectra_long(spark, sf)
+    m = tb.metadata(spark, sf).select("pkey", F.col("label").alias("y"))
+    nch = lg.select(F.count_distinct("wave").alias("_p"))
+    per = lg.join(m, "pkey").groupBy("wave").agg(F.regr_slope("y", "intensity").alias("_s"),
+                                                 F.avg("intensity").alias("mx"))
+    from specflow.functions.frames import attach
+    per = attach(per, nch).withColumn("coef", F.col("_s") / F.col("_p"))
+    ybar = m.agg(F.avg("y").alias("_ybar"))
+    model = attach(per.agg(F.array_sort(F.collect_list(F.struct("wave", "coef"))).alias("_c"),
+                           F.sum(F.col("coef") * F.col("mx")).alias("_cm")), ybar)
+    model = model.select(F.lit("label").alias("variable"), F.lit("univariate").alias("method"),
+                         (F.col("_ybar") - F.col("_cm")).alias("intercept"),
+                         F.transform("_c", lambda s: s["coef"]).alias("coef"))
+    return per.select("wave", "coef", "mx"), model
+
+
+@register("predictions", f"""
+WITH {UNIV_MODEL_SQL}
+SELECT pkey, 'label' AS variable, 'univariate' AS method, round(pred, 6) AS pred FROM p""")
+def q_predictions(spark, sf):
+    """Apply a linear model table to every spectrum (array dot product, broadcast model)."""
+    from specflow.operators.scoring import predict_linear
+    _, model = _univariate_model(spark, sf)
+    p = predict_linear(tb.spectra_vec(spark, sf), model)
+    return p.select("pkey", "variable", "method", _r("pred").alias("pred"))
+
+
+@register("apply_model_metrics", f"""
+WITH {UNIV_MODEL_SQL},
+j AS (SELECT p.pred, m.y AS actual FROM p LEFT JOIN m USING (pkey) WHERE m.y IS NOT NULL),
+a AS (SELECT count(*) AS n, sum((actual - pred) ^ 2) AS ss, var_pop(actual) * count(*) AS st FROM j),
+r AS (SELECT n, sqrt(ss / n) AS rmse, CASE WHEN st = 0 THEN (CASE WHEN ss = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - ss / st END AS r2 FROM a)
+SELECT 'label' AS variable, 'univariate' AS method, n AS n_pred,
+       CASE WHEN n > 2 THEN round(rmse, 6) END AS rmsep, CASE WHEN n > 2 THEN round(r2, 6) END AS r2_test,
+       CASE WHEN n > 2 THEN round(1 - (1 - r2) * (n - 1) / nullif(n - 2, 0), 6) END AS adj_r2_test FROM r""")
+def q_apply(spark, sf):
+    """S1 + S2 + J2: predictions left-joined to metadata; metrics (k = 1) only for > 2 pairs."""
+    from specflow.operators.scoring import compare_to_metadata, predict_linear
+    _, model = _univariate_model(spark, sf)
+    p = predict_linear(tb.spectra_vec(spark, sf), model)
+    c = compare_to_metadata(p, tb.targets(spark, sf), k=1)
+    return c.select("variable", "method", "n_pred", _r("rmsep").alias("rmsep"), _r("r2_test").alias("r2_test"),
+                    _r("adj_r2_test").alias("adj_r2_test"))
+
+
+@register("model_card_scores", f"""
+WITH {UNIV_MODEL_SQL},
+card AS (SELECT c.wave, c.coef, (SELECT b0 FROM b) AS icpt, avg(l.intensity) AS mean_sub, 1.0 AS std_div
+         FROM c JOIN l USING (wave) GROUP BY c.wave, c.coef)
+SELECT l.pkey, 'label' AS variable, 'univariate' AS method,
+       round(sum((l.intensity - card.mean_sub) / card.std_div * card.coef) + min(card.icpt), 6) AS pred
+FROM l JOIN card USING (wave) GROUP BY l.pkey""")
+def q_card(spark, sf):
+    """IO8 + S4: model card (coefficient, intercept, mean to subtract, std to divide) and scoring from it."""
+    from specflow.operators.scoring import model_card, score_model_card
+    per, model = _univariate_model(spark, sf)
+    coefs = per.select(F.lit("label").alias("variable"), F.lit("univariate").alias("method"), "wave", "coef")
+    lg = tb.spectra_long(spark, sf)
+    card = model_card(lg, coefs, model.select("variable", "method", "intercept"))
+    s = score_model_card(lg, card)
+    return s.select("pkey", "variable", "method", _r("pred").alias("pred"))
+
+
+@register("key_audit", """
+WITH l AS (SELECT DISTINCT o_orderkey AS k FROM orders), r AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+j AS (SELECT l.k AS lk, r.k AS rk FROM l FULL OUTER JOIN r ON l.k = r.k)
+SELECT count(lk) AS n_left, count(rk) AS n_right, count(*) FILTER (WHERE lk IS NOT NULL AND rk IS NOT NULL) AS n_both,
+       count(*) FILTER (WHERE rk IS NULL) AS only_left, count(*) FILTER (WHERE lk IS NULL) AS only_right FROM j""")
+def q_audit_keys(spark, sf):
+    """Key agreement audit between two keyed tables (orders vs lineitem)."""
+    from specflow.operators.spectra import key_audit
+    o = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    li = tb.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return key_audit(o, li, "k")

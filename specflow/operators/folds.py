@@ -71,7 +71,10 @@ def grouped_folds(target: DataFrame, n_folds: int = 5,
                       F.coalesce("sample_name", F.concat(F.lit("\uffff"), "pkey")).alias("s"))
     pairs = t.where(F.col("y").isNotNull()).select("variable", "y", "s").distinct()
     ranged = range_sorted(pairs, ["variable", "y", "s"], num_partitions)
-    runs = ranged.mapInPandas(_local_runs, _RUN_SCHEMA)
+    # one row per distinct (variable, value, sample): persisted because it feeds
+    # the partition summary and the numbering; recomputation after a lost
+    # executor is deterministic (its input is checkpointed)
+    runs = ranged.mapInPandas(_local_runs, _RUN_SCHEMA).persist()
     summ = runs.groupBy("_pid").agg(
         F.max("_lrun").alias("_last_run"),
         F.min_by("variable", "_local").alias("_fv"), F.min_by("s", "_local").alias("_fs"),
