@@ -848,3 +848,57 @@ def q_audit_keys(spark, sf):
     o = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     li = tb.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"))
     return key_audit(o, li, "k")
+
+
+# ================================================================ rows-only (no SQL twin)
+def _results_cols(df):
+    num = ["rmsecv", "model_intercept", "rmsec", "r2_train", "adj_r2_train", "rmsep", "r2_test", "adj_r2_test"]
+    return df.select(*[_r(c, 9).alias(c) if c in num else F.col(c) for c in df.columns])
+
+
+@register("pls_train_report")
+def q_pls_report(spark, sf):
+    """Flagship: PLS components chosen by first local minimum of
+    RMSECV over grouped stratified folds, refit, train/test metrics (test fold 5)."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.plans.train import train_report
+    tg = tb.targets(spark, sf)
+    r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["PLS"], test_fold=5)
+    return _results_cols(r["results"])
+
+
+@register("linear_train_report")
+def q_linear_report(spark, sf):
+    """M15 + M16: OLS, OMP, LASSO, Ridge, ElasticNet, PLS, PCR-lin and kNN in one report (no test fold)."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.plans.train import train_report
+    tg = tb.targets(spark, sf)
+    r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5),
+                     ["OLS", "OMP", "LASSO", "Ridge", "ElasticNet", "PLS", "PCR-lin", "kNN"])
+    return _results_cols(r["results"])
+
+
+@register("baseline_removal")
+def q_baseline(spark, sf):
+    """Adaptive reweighted penalised least squares baseline removed from every spectrum."""
+    from specflow.operators.baseline import remove_baseline
+    b = remove_baseline(tb.spectra_vec(spark, sf))
+    return b.select("pkey", F.size("x").alias("n_channels"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), 6).alias("x_sum"),
+                    _r(F.array_min("x"), 9).alias("x_min"), _r(F.array_max("x"), 9).alias("x_max"))
+
+
+@register("preprocess_recipe")
+def q_recipe(spark, sf):
+    """IO5 recipe in array form: resample to a 25 nm axis -> baseline removal -> norm5 regions."""
+    from specflow.operators.baseline import remove_baseline
+    from specflow.operators.preprocess import normalize_regions_vec, resample_vec
+    ax = tb.axis(spark, sf)
+    rng = ax.agg(F.min("wave").alias("lo"), F.max("wave").alias("hi"))
+    new = rng.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 25.0).cast("int"))).alias("idx"),
+                     "lo").select("idx", (F.col("lo") + 25.0 * F.col("idx")).alias("wave"))
+    v = resample_vec(tb.spectra_vec(spark, sf), ax, new)
+    v = remove_baseline(v)
+    n = normalize_regions_vec(v, new, _PRESETS["norm5_SC"])
+    return n.select("pkey", F.size("x").alias("n_channels"),
+                    _r(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), 6).alias("x_sum"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specflow.plans.ordering import global_index, partition_offsets, range_sorted
+from specflow.session import cut_lineage
 
 _RUN_SCHEMA = T.StructType([
     T.StructField("variable", T.StringType()),
@@ -98,7 +99,12 @@ def grouped_folds(target: DataFrame, n_folds: int = 5,
         .select("variable", "y", "s", (F.col("_grun") - F.col("_r0")).alias("_run"))
     folded = numbered.select("variable", "y", "s", _fold_expr(F.col("_run"), n_folds).cast("int").alias("fold"))
     joined = t.join(folded, ["variable", "y", "s"], "left")
-    return joined.select("pkey", "variable", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"))
+    out = joined.select("pkey", "variable", F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"))
+    # the fold table is small next to the spectra and feeds many jobs: write it
+    # once to the shared checkpoint folder instead of replaying the ordering
+    out = cut_lineage(out)
+    runs.unpersist()
+    return out
 
 
 def ungrouped_folds(target: DataFrame, n_folds: int = 5,
@@ -111,7 +117,7 @@ def ungrouped_folds(target: DataFrame, n_folds: int = 5,
     idx = idx.join(F.broadcast(first), "variable").withColumn("_r", F.col("_g") - F.col("_g0"))
     folded = idx.select("pkey", "variable", _fold_expr(F.col("_r"), n_folds).cast("int").alias("fold"))
     missing = t.where(F.col("y").isNull()).select("pkey", "variable", F.lit(-1).alias("fold"))
-    return folded.unionByName(missing)
+    return cut_lineage(folded.unionByName(missing))
 
 
 def row_sum_target(meta: DataFrame, variables: list[str], sample_col: str | None = "Sample_Name") -> DataFrame:
