@@ -902,3 +902,67 @@ def q_recipe(spark, sf):
     n = normalize_regions_vec(v, new, _PRESETS["norm5_SC"])
     return n.select("pkey", F.size("x").alias("n_channels"),
                     _r(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), 6).alias("x_sum"))
+
+
+def _pls2_inputs(spark, sf):
+    """Two targets per spectrum: ``label`` and ``band_sum`` (sum of the first 8 channels)."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.sources.io import metadata_to_targets
+    meta = tb.metadata(spark, sf).join(
+        tb.spectra_vec(spark, sf).select("pkey", F.aggregate(F.slice("x", 1, 8), F.lit(0.0), lambda a, b: a + b)
+                                         .alias("band_sum")), "pkey")
+    tg = metadata_to_targets(meta, ["label", "band_sum"])
+    from specflow.operators.folds import row_sum_target
+    folds = grouped_folds(row_sum_target(meta, ["label", "band_sum"]), 5).select("pkey", "fold")
+    return tg, folds
+
+
+@register("pls2_report")
+def q_pls2(spark, sf):
+    """M7 + A5 + A17 + F5: one PLS model for two targets; per-variable and average
+    RMSECV, component by first local minimum of the average, train metrics."""
+    from specflow.plans.pls2 import pls2_report
+    tg, folds = _pls2_inputs(spark, sf)
+    r = pls2_report(tb.spectra_vec(spark, sf), tg, folds, ["label", "band_sum"], has_sample_name=True)
+    return r["info"].select("variable", "n_standards", _r("model_intercept", 9).alias("model_intercept"),
+                            _r("rmsecv", 9).alias("rmsecv"), _r("rmsec", 9).alias("rmsec"),
+                            _r("r2", 9).alias("r2"), _r("adj_r2", 9).alias("adj_r2"))
+
+
+@register("outlier_iterations")
+def q_outliers(spark, sf):
+    """O1-O4 + T2: iterative per-sample outlier removal for ``label`` with PLS,
+    stopping after three removals (the max_iter rule of the feature)."""
+    from specflow.plans.outliers import iterative_outliers
+    log = iterative_outliers(spark, tb.spectra_vec(spark, sf), tb.targets(spark, sf), "label", "PLS",
+                             "per_sample", "max_iter", 3)
+    return log.select("iter", "outlier", _r("avg_train_RMSE", 9).alias("avg_train_RMSE"),
+                      _r("difference", 9).alias("difference"), "percent_difference")
+
+
+WORST_SAMPLE_SQL_SRC = """
+SELECT l_returnflag AS variable, CAST(l_suppkey AS VARCHAR) AS Sample_Name,
+       sqrt(avg(CASE WHEN l_linestatus = 'F' THEN (l_extendedprice * l_discount) ^ 2 END)) AS avg_train_RMSE,
+       sqrt(avg(CASE WHEN l_linestatus = 'O' THEN (l_extendedprice * l_discount) ^ 2 END)) AS RMSEP
+FROM lineitem GROUP BY l_returnflag, l_suppkey"""
+
+
+@register("worst_sample", f"""
+WITH r AS ({WORST_SAMPLE_SQL_SRC}),
+s AS (SELECT variable, arg_min(Sample_Name, (avg_train_RMSE, Sample_Name)) AS wtrain,
+             arg_min(Sample_Name, (-RMSEP, Sample_Name)) AS wtest,
+             quantile_cont(avg_train_RMSE, 0.25) AS p25, quantile_cont(RMSEP, 0.75) AS p75 FROM r GROUP BY variable),
+c AS (SELECT r.variable, arg_min(r.Sample_Name, (r.avg_train_RMSE, r.Sample_Name)) AS cand
+      FROM r JOIN s USING (variable) WHERE r.avg_train_RMSE < s.p25 AND r.RMSEP > s.p75 GROUP BY r.variable)
+SELECT s.variable, CASE WHEN wtrain = wtest THEN wtrain ELSE c.cand END AS outlier
+FROM s LEFT JOIN c USING (variable)""")
+def q_worst_sample(spark, sf):
+    """Per-sample outlier choice (lowest train RMSE = highest RMSEP, else the
+    P25/P75 rule) on a per-sample error table (supplier x return flag)."""
+    from specflow.operators.outliers import worst_sample
+    li = tb.table(spark, sf, "lineitem")
+    e2 = F.pow(F.col("l_extendedprice") * F.col("l_discount"), 2)
+    r = li.groupBy(F.col("l_returnflag").alias("variable"), F.col("l_suppkey").cast("string").alias("Sample_Name")) \
+        .agg(F.sqrt(F.avg(F.when(F.col("l_linestatus") == "F", e2))).alias("avg_train_RMSE"),
+             F.sqrt(F.avg(F.when(F.col("l_linestatus") == "O", e2))).alias("RMSEP"))
+    return worst_sample(r, ["variable"])
