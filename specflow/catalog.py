@@ -966,3 +966,14 @@ def q_worst_sample(spark, sf):
         .agg(F.sqrt(F.avg(F.when(F.col("l_linestatus") == "F", e2))).alias("avg_train_RMSE"),
              F.sqrt(F.avg(F.when(F.col("l_linestatus") == "O", e2))).alias("RMSEP"))
     return worst_sample(r, ["variable"])
+
+
+@register("tree_train_report")
+def q_trees(spark, sf):
+    """M12 + M13: random forest and gradient boosting (Spark ML), max features
+    {sqrt, log2} chosen by global-minimum RMSECV, refit, test fold 5."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.plans.train import train_report
+    tg = tb.targets(spark, sf)
+    r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["RF", "GBR"], test_fold=5)
+    return _results_cols(r["results"])
