@@ -977,3 +977,18 @@ def q_trees(spark, sf):
     tg = tb.targets(spark, sf)
     r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["RF", "GBR"], test_fold=5)
     return _results_cols(r["results"])
+
+
+@register("stream_predictions", f"""
+WITH {UNIV_MODEL_SQL}
+SELECT pkey, 'label' AS variable, 'univariate' AS method, round(pred, 6) AS pred FROM p""")
+def q_stream(spark, sf):
+    """Structured Streaming: spectra files read as a stream, scored by a
+    stream-static join with the model table (availableNow trigger)."""
+    from specflow.streaming.score import run_available, score_stream, spectra_stream
+    _, model = _univariate_model(spark, sf)
+    model = model.persist()
+    model.count()
+    path = run_available(score_stream(spectra_stream(spark, sf), model), "predictions")
+    out = spark.read.parquet(path)
+    return out.select("pkey", "variable", "method", _r("pred").alias("pred"))

@@ -102,3 +102,57 @@ def parse_model_name(col: str | F.Column) -> tuple[F.Column, F.Column]:
     base = F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
     return (F.regexp_extract(base, r"^(.+)_([^_]+)_model$", 1).alias("variable"),
             F.regexp_extract(base, r"^(.+)_([^_]+)_model$", 2).alias("method"))
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """IO7: linear model table ``(variable, method, param, intercept, coef)`` as Parquet,
+    partitioned by variable and method (replaces pickled estimators)."""
+    write_table(models, path, ["variable", "method"])
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def coefficient_table(models: DataFrame, axis: DataFrame) -> DataFrame:
+    """Tall ``(variable, method, wave, coef)`` from the model table and the axis."""
+    e = models.select("variable", "method", F.posexplode("coef").alias("idx", "coef"))
+    return e.join(F.broadcast(axis), "idx").select("variable", "method", "wave", "coef")
+
+
+def coefficient_overlay(coefs: DataFrame, spectrum_long: DataFrame) -> DataFrame:
+    """J10 + F8: non-zero coefficients on numeric channels next to one spectrum's intensity."""
+    c = coefs.where(F.col("coef") != 0).where(F.col("wave").isNotNull())
+    return c.join(spectrum_long.select("wave", "intensity"), "wave")
+
+
+def validate_inputs(spectra_wide: DataFrame | None, meta: DataFrame, min_variables: int = 1,
+                    test_fold: int | None = None, fold_col: str | None = None) -> list[str]:
+    """first columns ``wave`` / ``pkey``, enough variables, requested test fold present.
+
+    Returns the variables; raises ValueError otherwise.  The fold check is a
+    left-anti join of the requested fold against the distinct folds."""
+    if spectra_wide is not None and spectra_wide.columns[0] != "wave":
+        raise ValueError("first spectra column must be 'wave'")
+    if meta.columns[0] != "pkey":
+        raise ValueError("first metadata column must be 'pkey'")
+    variables = variable_columns(meta)
+    if len(variables) < min_variables:
+        raise ValueError(f"need at least {min_variables} variable(s), found {variables}")
+    if test_fold is not None:
+        spark = meta.sparkSession
+        want = spark.createDataFrame([(int(test_fold),)], "fold int")
+        have = meta.select(F.col(f"`{fold_col}`").cast("int").alias("fold")).where(F.col("fold") != -1).distinct()
+        if want.join(have, "fold", "left_anti").limit(1).count():
+            raise ValueError(f"test fold {test_fold} not among the folds")
+    return variables
+
+
+def resolve_variable_column(meta: DataFrame, variable: str) -> str:
+    """The metadata column for a model variable, trying ``_`` -> space."""
+    if variable in meta.columns:
+        return variable
+    alt = variable.replace("_", " ")
+    if alt in meta.columns:
+        return alt
+    raise ValueError(f"variable {variable} not in metadata")
