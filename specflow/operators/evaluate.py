@@ -193,10 +193,14 @@ def fold_representativeness(target: DataFrame, folds: DataFrame) -> DataFrame:
 
     target(pkey, variable, y); folds(pkey, variable, fold).
     """
+    from specflow.session import cut_lineage
     d = target.join(folds, ["pkey", "variable"]).where(F.col("y").isNotNull() & (F.col("fold") != -1))
-    fd = fd_bins(d, ["variable"], "y")
+    d = cut_lineage(d.select("variable", "fold", "y"))
+    fd = cut_lineage(fd_bins(d, ["variable"], "y"))
     j = d.join(F.broadcast(fd.select("variable", "lo", "hi", "bins")), "variable")
-    j = j.withColumn("bin", equal_width_bin(F.col("y"), F.col("lo"), F.col("hi"), F.col("bins")))
+    # one (variable, fold, bin) row per spectrum feeds every histogram below
+    j = cut_lineage(j.withColumn("bin", equal_width_bin(F.col("y"), F.col("lo"), F.col("hi"), F.col("bins")))
+                    .select("variable", "fold", "bin"))
     all_h = j.groupBy("variable", "bin").agg(F.count(F.lit(1)).alias("_c"))
     all_n = j.groupBy("variable").agg(F.count(F.lit(1)).alias("_n"))
     bins = fd.select("variable", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))

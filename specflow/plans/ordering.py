@@ -2,10 +2,14 @@
 
 A window ``row_number() over (order by ...)`` with no partition key moves
 every row into one task.  Instead the rows are range-partitioned on the
-order key, sorted inside each partition and checkpointed (so partition
-contents are fixed even if an executor is lost and tasks re-run), then each
-row's position is ``offset(partition) + position inside the partition``.
-Only one number per partition crosses the stage boundary.
+order key and sorted inside each partition, then each row's position is
+``offset(partition) + position inside the partition``.  Only one number per
+partition crosses the stage boundary.
+
+Determinism: the range bounds belong to the shuffle dependency (sampled
+once), the order key is unique and sorted within partitions, and the tagged
+rows are persisted -- so recomputing a lost partition reproduces the same
+rows in the same order and the same ids.
 """
 
 from __future__ import annotations
@@ -13,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specflow.session import cut_lineage
-
 _LOCAL_MASK = (1 << 33) - 1
 
 
@@ -25,9 +27,9 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def range_sorted(df: DataFrame, order_cols: list, num_partitions: int | None = None) -> DataFrame:
-    """Range-partition + sort inside partitions, then a reliable checkpoint."""
+    """Range-partition + sort inside partitions (order key must be unique)."""
     p = _num_partitions(df, num_partitions)
-    return cut_lineage(df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols))
+    return df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
 
 
 def partition_offsets(summary: DataFrame, size_col: str, out: str = "_offset") -> DataFrame:
@@ -46,7 +48,7 @@ def global_index(df: DataFrame, order_cols: list, name: str = "_gidx",
     ranged = range_sorted(df, order_cols, num_partitions)
     mid = F.monotonically_increasing_id()
     tagged = ranged.select("*", F.shiftright(mid, 33).alias("_pid"),
-                           mid.bitwiseAND(F.lit(_LOCAL_MASK)).alias("_local"))
+                           mid.bitwiseAND(F.lit(_LOCAL_MASK)).alias("_local")).persist()
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = partition_offsets(sizes, "_n").select("_pid", "_offset")
     out = tagged.join(F.broadcast(offs), "_pid")
