@@ -992,3 +992,14 @@ def q_stream(spark, sf):
     path = run_available(score_stream(spectra_stream(spark, sf), model), "predictions")
     out = spark.read.parquet(path)
     return out.select("pkey", "variable", "method", _r("pred").alias("pred"))
+
+
+@register("svr_train_report")
+def q_svr(spark, sf):
+    """Linear SVR (C = 1) over the eps grid logspace(-4, 1, 30), global-minimum
+    RMSECV, refit, coefficients and intercept, test fold 5."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.plans.train import train_report
+    tg = tb.targets(spark, sf)
+    r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["SVR-lin"], test_fold=5)
+    return _results_cols(r["results"])
