@@ -162,10 +162,7 @@ def q_loq(spark, sf):
     coefs = li.groupBy(F.col("l_returnflag").alias("variable"), F.col("l_linestatus").alias("method"),
                        F.col("l_linenumber").cast("double").alias("wave")) \
         .agg((F.avg("l_extendedprice") / 1000).alias("coef"))
-    pt = tb.pred_true(spark, sf).join(
-        li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pkey"),
-                  F.when(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp"), "test")
-                  .otherwise("train").alias("split")), "pkey")
+    pt = tb.pred_true(spark, sf, with_split=True)
     ev = tb.table(spark, sf, "events").where(F.col("event_type") == "purchase")
     sens_v = ev.agg(F.median("value").alias("sensitivity"))
     models = coefs.select("variable", "method").distinct()

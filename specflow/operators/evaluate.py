@@ -87,26 +87,25 @@ def loq_table(coefs: DataFrame, pred_true: DataFrame, sensitivity: DataFrame,
     keys = list(keys)
     norm = coefs.groupBy(*keys).agg(F.sqrt(F.sum(F.col("coef") * F.col("coef"))).alias("_norm"))
     loq = norm.join(sensitivity, keys).select(*keys, (10 * F.col("_norm") * F.col("sensitivity")).alias("loq"))
-    pt = pred_true.join(F.broadcast(loq), keys)
+    pt = pred_true.join(F.broadcast(loq), keys)           # one LOQ per model: bounded
     above = F.col("pred") > F.col("loq")
-    e = F.col("actual") - F.col("pred")
+    a_act = F.when(above, F.col("actual"))
+    a_e2 = F.when(above, F.pow(F.col("actual") - F.col("pred"), 2))
+    # one pass over the predictions: before- and after-LOQ aggregates side by side
+    g = pt.groupBy(*keys, "split").agg(
+        F.median("actual").alias("_med"), F.count(a_act).alias("_n"), F.sum(a_e2).alias("_ss"),
+        (F.var_pop(a_act) * F.count(a_act)).alias("_st"), F.median(a_act).alias("_meda"))
+    r2 = r2_expr(F.col("_ss"), F.col("_st"))
     out = loq
-    for split in ("train", "test"):
-        s = pt.where(F.col("split") == split)
-        ab = s.where(above)
-        before = s.groupBy(*keys).agg(F.round(F.median("actual"), 2).alias(f"median_conc_{split}"))
-        agg = ab.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(e * e).alias("_ss"),
-            (F.var_pop("actual") * F.count(F.lit(1))).alias("_st"),
-            F.round(F.median("actual"), 2).alias(f"median_conc_{split}_above_loq"))
-        r2 = r2_expr(F.col("_ss"), F.col("_st"))
-        tag = "rmsec" if split == "train" else "rmsep"
-        agg = agg.select(*keys, F.col("_n").alias(f"n_{split}_above_loq"),
-                         f"median_conc_{split}_above_loq",
-                         F.sqrt(F.col("_ss") / F.col("_n")).alias(f"{tag}_above_loq"),
-                         r2.alias(f"r2_{split}_above_loq"),
-                         adj_r2_expr(r2, F.col("_n"), 2).alias(f"adj_r2_{split}_above_loq"))
-        out = out.join(before, keys, "left").join(agg, keys, "left")
+    for split, tag in (("train", "rmsec"), ("test", "rmsep")):
+        part = g.where(F.col("split") == split).select(
+            *keys, F.round("_med", 2).alias(f"median_conc_{split}"),
+            F.when(F.col("_n") > 0, F.col("_n")).alias(f"n_{split}_above_loq"),
+            F.round("_meda", 2).alias(f"median_conc_{split}_above_loq"),
+            F.sqrt(F.try_divide(F.col("_ss"), F.col("_n").cast("double"))).alias(f"{tag}_above_loq"),
+            F.when(F.col("_n") > 0, r2).alias(f"r2_{split}_above_loq"),
+            F.when(F.col("_n") > 0, adj_r2_expr(r2, F.col("_n"), 2)).alias(f"adj_r2_{split}_above_loq"))
+        out = out.join(part, keys, "left")
     return out
 
 

@@ -67,10 +67,13 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata_to_targets(metadata(spark, sf_dir), ["label"])
 
 
-def pred_true(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(pkey, variable, method, fold, actual, pred)`` from lineitem."""
+def pred_true(spark: SparkSession, sf_dir: str, with_split: bool = False) -> DataFrame:
+    """``(pkey, variable, method, fold, actual, pred[, split])`` from lineitem;
+    the split is 'test' for rows shipped from 2000 on, else 'train'."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    extra = [F.when(F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp"), "test")
+             .otherwise("train").alias("split")] if with_split else []
+    return li.select(*extra,
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pkey"),
         F.col("l_returnflag").alias("variable"), F.col("l_linestatus").alias("method"),
         F.col("l_linenumber").alias("fold"),
