@@ -14,3 +14,22 @@ def attach(big: DataFrame, small: DataFrame) -> DataFrame:
     large side never moves.
     """
     return big.withColumn("_one", F.lit(1)).join(F.broadcast(small.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def right_size(df: DataFrame, n_rows: int, row_bytes: int,
+               target_bytes: int = TARGET_PARTITION_BYTES) -> DataFrame:
+    """Narrow a materialised (persisted) frame to ~``target_bytes`` per partition.
+
+    ``coalesce`` is a narrow dependency (no shuffle); it only ever lowers the
+    partition count, so a large frame keeps its parallelism."""
+    want = max(1, -(-int(n_rows) * int(row_bytes) // int(target_bytes)))
+    have = df.rdd.getNumPartitions()
+    if want >= have:
+        return df
+    out = df.coalesce(want).persist()
+    out.count()
+    df.unpersist()
+    return out

@@ -27,9 +27,14 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def range_sorted(df: DataFrame, order_cols: list, num_partitions: int | None = None) -> DataFrame:
-    """Range-partition + sort inside partitions (order key must be unique)."""
-    p = _num_partitions(df, num_partitions)
-    return df.repartitionByRange(p, *order_cols).sortWithinPartitions(*order_cols)
+    """Range-partition + sort inside partitions (order key must be unique).
+
+    Without an explicit count the range shuffle is left to AQE, which merges
+    adjacent (small) ranges -- order is preserved, and the offsets below use
+    the partitions that actually ran."""
+    if num_partitions:
+        return df.repartitionByRange(int(num_partitions), *order_cols).sortWithinPartitions(*order_cols)
+    return df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
 
 
 def partition_offsets(summary: DataFrame, size_col: str, out: str = "_offset") -> DataFrame:
