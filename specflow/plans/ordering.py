@@ -26,15 +26,21 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_PER_RANGE = 1_000_000
+
+
 def range_sorted(df: DataFrame, order_cols: list, num_partitions: int | None = None) -> DataFrame:
     """Range-partition + sort inside partitions (order key must be unique).
 
-    Without an explicit count the range shuffle is left to AQE, which merges
-    adjacent (small) ranges -- order is preserved, and the offsets below use
-    the partitions that actually ran."""
-    if num_partitions:
-        return df.repartitionByRange(int(num_partitions), *order_cols).sortWithinPartitions(*order_cols)
-    return df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    The partition count is explicit so that the persisted, numbered rows and
+    the per-partition sizes always describe the same partitioning; without a
+    given count it follows the data: ~1M rows per range, at most
+    ``spark.sql.shuffle.partitions``."""
+    if not num_partitions:
+        df = df.persist()
+        n = df.count()
+        num_partitions = max(1, min(_num_partitions(df, None), -(-n // ROWS_PER_RANGE)))
+    return df.repartitionByRange(int(num_partitions), *order_cols).sortWithinPartitions(*order_cols)
 
 
 def partition_offsets(summary: DataFrame, size_col: str, out: str = "_offset") -> DataFrame:

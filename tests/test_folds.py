@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from conftest import REF_DATA, SF01
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(REF_DATA), reason="reference metadata fixtures absent")
+needs_ref = pytest.mark.skipif(not os.path.isdir(REF_DATA), reason="reference metadata fixtures absent")
 
 
 def _counts(df, col):
     return [r["count"] for r in df.where(F.col("fold_col") == col).groupBy("fold").count().orderBy("fold").collect()]
 
 
+@needs_ref
 def test_grouped_folds_goldens(spark):
     from specflow.operators.folds import stratify
     from specflow.sources.io import read_metadata_csv
@@ -26,6 +27,7 @@ def test_grouped_folds_goldens(spark):
     assert _counts(multi, "Folds") == [74, 84, 51, 57, 67]
 
 
+@needs_ref
 def test_sample_with_two_values_lands_in_two_folds(spark):
     """Q9: runs are found by adjacency after sorting by value."""
     from specflow.operators.folds import stratify
@@ -37,6 +39,7 @@ def test_sample_with_two_values_lands_in_two_folds(spark):
     assert n == 2
 
 
+@needs_ref
 def test_fold_representativeness_goldens(spark):
     from specflow.operators.evaluate import fold_representativeness
     from specflow.operators.folds import grouped_folds
@@ -93,3 +96,19 @@ def test_split_sizes(spark):
     assert s == {1: (2, 4, 1), 2: (3, 3, 1), 3: (1, 5, 1)}
     s2 = {r["fold"]: r["n_train"] for r in split_sizes(df, test_fold=3).collect()}
     assert s2 == {1: 3, 2: 2}
+
+
+def test_ungrouped_default_partitioning_keeps_every_row(spark):
+    """W2 with the data-derived range partitioning equals the single-window form."""
+    from pyspark.sql import Window
+
+    from specflow.operators.folds import ungrouped_folds
+    from specflow.sources import tables as tb
+    from specflow.sources.io import metadata_to_targets
+    t = metadata_to_targets(tb.customer_meta(spark, SF01), ["acctbal"])
+    ours = ungrouped_folds(t, 5).toPandas().set_index("pkey")["fold"].sort_index()
+    w = Window.orderBy("y", "pkey")
+    ref = t.where(F.col("y").isNotNull()).select("pkey", ((F.row_number().over(w) - 1) % 5 + 1).alias("fold")) \
+        .unionByName(t.where(F.col("y").isNull()).select("pkey", F.lit(-1).alias("fold"))) \
+        .toPandas().set_index("pkey")["fold"].sort_index()
+    assert len(ours) == 1500 and (ours == ref).all()
