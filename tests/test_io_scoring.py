@@ -142,3 +142,31 @@ def test_outliers_against_brute_force(spark):
     assert wtrain == wtest == "S02"
     assert log.outlier.iloc[1] == "S02"
     assert log.avg_train_RMSE.iloc[1] == pytest.approx(res["S02"][0], rel=1e-9)
+
+
+def test_iteration_deltas(spark):
+    """Difference to the previous iteration and percent difference (1 dp)."""
+    from specflow.operators.outliers import iteration_deltas
+    log = spark.createDataFrame([(1, "none", 2.0), (2, "S1", 1.5), (3, "S2", 1.2)],
+                                "iter int, outlier string, avg_train_RMSE double")
+    r = iteration_deltas(log).orderBy("iter").collect()
+    assert r[0]["difference"] is None
+    assert r[1]["difference"] == pytest.approx(-0.5) and r[1]["percent_difference"] == -25.0
+    assert r[2]["percent_difference"] == -20.0
+
+
+def test_stream_preprocessing_equals_batch(spark, tmp_path):
+    """IO5 recipe on readStream input equals the batch array-form recipe."""
+    from specflow.operators.baseline import remove_baseline
+    from specflow.operators.preprocess import PRESETS, normalize_regions_vec, resample_vec
+    from specflow.sources import tables as tb
+    from specflow.streaming.score import preprocess_stream, run_available, spectra_stream
+    ax = tb.axis(spark, SF001)
+    new = ax.where(F.col("idx") < 60).select("idx", (F.col("wave") + 5.0).alias("wave"))
+    s = preprocess_stream(spectra_stream(spark, SF001), ax, new, PRESETS["norm5_SC"])
+    got = {r["pkey"]: r["x"] for r in spark.read.parquet(run_available(s, "prep")).collect()}
+    b = normalize_regions_vec(remove_baseline(resample_vec(tb.spectra_vec(spark, SF001), ax, new)), new,
+                              PRESETS["norm5_SC"])
+    want = {r["pkey"]: r["x"] for r in b.collect()}
+    assert set(got) == set(want) and len(got) == 500
+    assert all(np.allclose(got[k], want[k]) for k in want)
