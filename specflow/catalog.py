@@ -1000,3 +1000,27 @@ def q_svr(spark, sf):
     tg = tb.targets(spark, sf)
     r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["SVR-lin"], test_fold=5)
     return _results_cols(r["results"])
+
+
+@register("preprocess_recipes")
+def q_recipes(spark, sf):
+    """IO5 + IO6: three recipes over the spectra (resample 25 nm + baseline + norm5_SC,
+    resample 25 nm + baseline + norm3_SL_10K, baseline only), written partitioned by
+    dataset and recipe, read back and summarised per spectrum."""
+    import uuid
+
+    from specflow.plans.recipes import baseline, normalise, resample_to, run_recipes, write_recipes
+    from specflow.session import ensure_checkpoint_dir
+    ax = tb.axis(spark, sf)
+    rng = ax.agg(F.min("wave").alias("lo"), F.max("wave").alias("hi"))
+    new = rng.select(F.explode(F.sequence(F.lit(0), F.floor((F.col("hi") - F.col("lo")) / 25.0).cast("int"))).alias("idx"),
+                     "lo").select("idx", (F.col("lo") + 25.0 * F.col("idx")).alias("wave"))
+    recipes = {"resample_baseline_norm5": [resample_to(new), baseline, normalise("norm5_SC")],
+               "resample_baseline_norm3": [resample_to(new), baseline, normalise("norm3_SL_10K")],
+               "baseline": [baseline]}
+    out = run_recipes(tb.spectra_vec(spark, sf), ax, recipes, "embeddings")
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/recipes-{uuid.uuid4().hex}"
+    write_recipes(out, path)
+    back = spark.read.parquet(path)
+    return back.select("dataset", "recipe", "pkey", F.size("x").alias("n_channels"),
+                       _r(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), 6).alias("x_sum"))
