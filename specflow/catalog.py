@@ -739,7 +739,9 @@ def _knn_cv_table(spark, sf):
     from specflow.operators.folds import split_sizes
     from specflow.operators.knn import knn_cv
     from specflow.plans.linear import rmsecv_table
+    from specflow.functions.frames import right_size
     d = _emb_rows(spark, sf).persist()
+    d = right_size(d, d.count(), 8 * (d.select(F.max(F.size("x"))).first()[0] or 1) + 64)
     ms = split_sizes(d.select("fold")).agg(F.min("min_samples")).first()[0]
     cv = knn_cv(d, ["variable"], min(40, int(ms)))
     return rmsecv_table(cv, ["variable"])

@@ -84,6 +84,8 @@ def pls2_report(spectra_vec: DataFrame, targets: DataFrame, folds: DataFrame, va
     data = wide.select("pkey", *[F.col(f"`{v}`").cast("double").alias(c) for v, c in zip(variables, ycols)]) \
         .join(folds.select("pkey", "fold"), "pkey").join(spectra_vec, "pkey") \
         .withColumn(KEY, F.lit(0)).persist()
+    from specflow.functions.frames import right_size
+    data = right_size(data, data.count(), 8 * (data.select(F.max(F.size("x"))).first()[0] or 1) + 64)
     n_folds_rows = data.where(F.col("fold") != -1)
     sizes = n_folds_rows.groupBy("fold").count()
     tot_n = n_folds_rows.count()
@@ -91,6 +93,7 @@ def pls2_report(spectra_vec: DataFrame, targets: DataFrame, folds: DataFrame, va
     max_c = min(max_components, int(min_samples))  # Q12: PLS2 caps by the smallest split
     mom, shifts = moments.fold_moments(data, [KEY], ycols)
     mom = mom.persist()
+    mom = right_size(mom, mom.count(), 48)
     fm = mom.where(F.col("fold") != -1)
     total = fm.groupBy(KEY, "i", "j").agg(F.sum("v").alias("v"))
     splits = fm.select(KEY, F.col("fold").alias("split")).distinct()
