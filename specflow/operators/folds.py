@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specflow.plans.ordering import global_index, partition_offsets, range_sorted
+from specflow.plans.ordering import global_index, range_sorted
 from specflow.session import cut_lineage
 
 _RUN_SCHEMA = T.StructType([

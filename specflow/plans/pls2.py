@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from specflow.functions import grids, linalg
 from specflow.operators import moments, selection

@@ -28,7 +28,6 @@ EMBEDDINGS_SCHEMA = T.StructType([
 def spectra_stream(spark: SparkSession, folder: str, file_glob: str = "embeddings.parquet",
                    files_per_trigger: int = 1) -> DataFrame:
     """Spectra files in ``folder`` as a stream of ``(pkey, x)`` rows."""
-    from specflow.sources.tables import WAVE0  # noqa: F401  (same role mapping as batch)
     raw = (spark.readStream.schema(EMBEDDINGS_SCHEMA).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
     return raw.select(F.col("vec_id").cast("string").alias("pkey"),
