@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,25 @@ def test_ungrouped_default_partitioning_keeps_every_row(spark):
         .unionByName(t.where(F.col("y").isNull()).select("pkey", F.lit(-1).alias("fold"))) \
         .toPandas().set_index("pkey")["fold"].sort_index()
     assert len(ours) == 1500 and (ours == ref).all()
+
+
+def test_grouped_folds_with_hot_sample(spark):
+    """A sample holding a third of all rows (many values) is folded exactly like the
+    single-window formulation; it collapses to its distinct values before ordering."""
+    from pyspark.sql import Window
+
+    from specflow.operators.folds import grouped_folds
+    rng = np.random.default_rng(5)
+    n = 3000
+    samples = np.where(np.arange(n) % 3 == 0, "HOT", np.char.add("S", (rng.integers(0, 400, n)).astype(str)))
+    y = np.round(rng.uniform(0, 50, n), 1)
+    pdf = pd.DataFrame({"pkey": [str(i) for i in range(n)], "sample_name": samples, "variable": "v", "y": y})
+    t = spark.createDataFrame(pdf)
+    ours = grouped_folds(t, 5, num_partitions=7).toPandas().set_index("pkey")["fold"].sort_index()
+    pairs = t.select("y", F.col("sample_name").alias("s")).distinct()
+    w = Window.orderBy("y", "s")
+    ch = pairs.withColumn("c", F.when(F.lag("s").over(w).isNull() | (F.lag("s").over(w) != F.col("s")), 1).otherwise(0))
+    r = ch.withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ref = t.join(r, (t["y"] == r["y"]) & (t["sample_name"] == r["s"])) \
+        .select("pkey", ((F.col("run") % 5) + 1).alias("fold")).toPandas().set_index("pkey")["fold"].sort_index()
+    assert len(ours) == n and (ours == ref).all()
