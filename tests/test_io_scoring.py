@@ -170,3 +170,16 @@ def test_stream_preprocessing_equals_batch(spark, tmp_path):
     want = {r["pkey"]: r["x"] for r in b.collect()}
     assert set(got) == set(want) and len(got) == 500
     assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_broadcast_guard(spark, monkeypatch):
+    """Model tables are broadcast only under the size limit; beyond it a keyed join is required."""
+    from specflow.operators import scoring
+    models = spark.createDataFrame([("v", "OLS", 0.0, [1.0] * 50)],
+                                   "variable string, method string, intercept double, coef array<double>")
+    spectra = spark.createDataFrame([("a", "v", [1.0] * 50)], "pkey string, variable string, x array<double>")
+    assert scoring.predict_linear(spectra, models).first()["pred"] == 50.0
+    monkeypatch.setattr(scoring, "BROADCAST_LIMIT_BYTES", 100)
+    with pytest.raises(ValueError):
+        scoring.predict_linear(spectra, models)
+    assert scoring.predict_linear(spectra, models, ["variable"]).first()["pred"] == 50.0   # shuffled join
