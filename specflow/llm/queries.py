@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -36,6 +37,14 @@ def op5_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive(table(spark, sf_dir, "documents"), _vocab("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that other documents keep."""
+    from .op6_line_dedup import line_dedup
+
+    got = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids packed into sequences of 2048."""
     from .op9_packing import packing
@@ -44,6 +53,30 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_warc, op5_rans_archive, op9_packing)}
-
-ORACLE: dict[str, str] = {}
+    f.__name__: f for f in (op2_token_counts, op4_warc, op5_rans_archive, op6_line_dedup, op9_packing)}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first_id, sha1(html) AS h FROM p)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INT, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM k""",
+    "op6_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+        k AS (SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+                     '{_UPPER}', '{_LOWER}') AS key FROM l),
+        hot AS (SELECT key, max(doc_id) AS keep FROM (SELECT DISTINCT doc_id, key FROM k WHERE length(key) >= 40)
+                GROUP BY key HAVING count(*) >= 5),
+        m AS (SELECT doc_id, pos, line, coalesce(doc_id < keep, false) AS gone FROM k LEFT JOIN hot USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+}
