@@ -45,6 +45,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and verdict."""
+    from .op7_mcd_quality import quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    got = quality_rules(docs, prefix="q_", keep_text=False)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return got.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names])
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids packed into sequences of 2048."""
     from .op9_packing import packing
@@ -53,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_warc, op5_rans_archive, op6_line_dedup, op9_packing)}
+    f.__name__: f for f in (op2_token_counts, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op9_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
