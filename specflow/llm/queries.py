@@ -16,6 +16,13 @@ def _vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections of every document."""
+    from .op1_license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     from .op2_token_counts import token_counts
@@ -63,7 +70,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op9_packing)}
+    f.__name__: f for f in (op1_license_scan, op2_token_counts, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op9_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
