@@ -7,6 +7,7 @@ A block holds whole documents in ascending doc_id order and is coded on its own
 position, so the pieces of a block decode in parallel; a CRC-32 covers the
 words.  The archive is a folder with
 
+``raw/``     the blocks' plain ids, from which the table is counted (may go once the rest is written)
 ``table/``   token, freq (they sum to ``2**SCALE``)
 ``blocks/``  part, block, first_start, doc_ids, doc_lens, lanes, every, states, words, crc
 ``parts/``   part, base: ids before the first of that part
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, id_text, large, workspace
-from .tokens import encode, token_histogram, tokenizer
+from .tokens import encode, tokenizer
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
+RAW_SCHEMA = "part int, block long, first_start long, doc_ids array<long>, doc_lens array<long>, ids binary"
 BLOCK_SCHEMA = ("part int, block long, first_start long, doc_ids array<long>, doc_lens array<long>, "
                 "lanes int, every int, states binary, words binary, crc long")
 DOC_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -137,20 +139,51 @@ def rans_decode(blocks: list[tuple[np.ndarray, np.ndarray, int]], freq: np.ndarr
     return res
 
 
-def _counts(docs: DataFrame, vocab: str, end_id: int) -> np.ndarray:
-    """Ids counted over all documents.  The vocabulary bounds what reaches the driver."""
-    size = tokenizer(vocab).get_vocab_size(with_added_tokens=True)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    arrow = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    names, kinds = zip(*[f.split() for f in schema.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
 
+def _raw_blocks(docs: DataFrame, vocab: str, path: str, end_id: int, block_ids: int, partitions: int, width: str) -> DataFrame:
+    """Plain ids in blocks of whole documents, in ascending doc_id order."""
     def run(batches):
-        total, n = np.zeros(size, np.int64), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        ids, lens, runs, held = [], [], [], 0
         for b in byte_slices(batches):
-            total += token_histogram(vocab, large(b.column("text")), size)
-            n += b.num_rows
-        total[end_id] += n
+            rows = []
+            flat, off = encode(vocab, large(b.column("text")), end_id)
+            flat = flat.astype(width)
+            for i, d in enumerate(b.column("doc_id").to_pylist()):
+                ids.append(d)
+                lens.append(int(off[i + 1] - off[i]))
+                runs.append(flat[off[i]:off[i + 1]])
+                held += lens[-1]
+                if held >= block_ids:
+                    rows.append((part, block, before, ids, lens, b"".join(r.tobytes() for r in runs)))
+                    block, before = block + 1, before + held
+                    ids, lens, runs, held = [], [], [], 0
+            if rows:
+                yield _batch(rows, RAW_SCHEMA)
+        if ids:
+            yield _batch([(part, block, before, ids, lens, b"".join(r.tobytes() for r in runs))], RAW_SCHEMA)
+
+    (docs.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+     .mapInArrow(run, RAW_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/raw"))
+    return docs.sparkSession.read.schema(RAW_SCHEMA).parquet(f"{path}/raw")
+
+
+def _counts(raw: DataFrame, size: int, width: str) -> np.ndarray:
+    """Ids counted over all documents.  The vocabulary bounds what reaches the driver."""
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column("ids").to_pylist():
+                total += np.bincount(np.frombuffer(x, width), minlength=size)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], names=["token", "n"])
 
-    rows = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    rows = raw.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[rows["token"].to_numpy()] = rows["n"].to_numpy()
     return counts
@@ -161,58 +194,28 @@ def write_archive(docs: DataFrame, vocab: str, path: str, end_id: int = 0, block
     """Encode all texts and write the archive below ``path``, in ascending doc_id order.
 
     The documents are range-partitioned by doc_id (ties by text), so part p
-    holds smaller ids than part p + 1; the ids are made and coded inside the
-    sorted parts.  Null texts count as empty; null doc_ids come first;
-    repeated rows are separate documents; an empty table gives empty tables.
+    holds smaller ids than part p + 1; their ids are made once, inside the sorted
+    parts, counted, and then coded block by block.  Null texts count as empty;
+    null doc_ids come first; repeated rows are separate documents; an empty table
+    gives empty tables.
     """
     spark = docs.sparkSession
-    docs = id_text(docs)
-    freq = quantize(_counts(docs, vocab, end_id))
-    used = np.flatnonzero(freq)
-    spark.createDataFrame([(int(t), int(freq[t])) for t in used], "token long, freq long").coalesce(1).write.parquet(f"{path}/table")
+    size = max(tokenizer(vocab).get_vocab_size(with_added_tokens=True), end_id + 1)
+    width = "<u2" if size <= 1 << 16 else "<u4"
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = _raw_blocks(id_text(docs), vocab, path, end_id, block_ids, n, width)
+    freq = quantize(_counts(raw, size, width))
+    spark.createDataFrame([(int(t), int(freq[t])) for t in np.flatnonzero(freq)], "token long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
-    def blocks(batches):
-        part, block, before = TaskContext.get().partitionId(), 0, 0
-        wait: list[tuple[list, list, list]] = []  # blocks not coded yet: doc_ids, lens, runs of ids
+    def code(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                rows = b.slice(lo, 64).to_pylist()
+                coded = rans_encode([np.frombuffer(r["ids"], width) for r in rows], freq, lanes, checkpoint_steps)
+                yield _batch([(r["part"], r["block"], r["first_start"], r["doc_ids"], r["doc_lens"], lanes, checkpoint_steps,
+                               states.tobytes(), w := words.tobytes(), zlib.crc32(w)) for r, (states, words) in zip(rows, coded)], BLOCK_SCHEMA)
 
-        def flush():
-            nonlocal block, before
-            runs = [np.concatenate(r) for _, _, r in wait]
-            rows = []
-            for (ids, lens, _), run, (states, words) in zip(wait, runs, rans_encode(runs, freq, lanes, checkpoint_steps)):
-                w = words.tobytes()
-                rows.append((part, block, before, ids, lens, lanes, checkpoint_steps, states.tobytes(), w, zlib.crc32(w)))
-                block += 1
-                before += len(run)
-            wait.clear()
-            cols = list(zip(*rows))
-            types = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2,
-                     pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                              names=["part", "block", "first_start", "doc_ids", "doc_lens",
-                                                     "lanes", "every", "states", "words", "crc"])
-
-        ids_, lens_, runs_, held = [], [], [], 0
-        for b in byte_slices(batches):
-            flat, off = encode(vocab, large(b.column("text")), end_id)
-            for i, d in enumerate(b.column("doc_id").to_pylist()):
-                ids_.append(d)
-                lens_.append(int(off[i + 1] - off[i]))
-                runs_.append(flat[off[i]:off[i + 1]])
-                held += lens_[-1]
-                if held >= block_ids:
-                    wait.append((ids_, lens_, runs_))
-                    ids_, lens_, runs_, held = [], [], [], 0
-                    if len(wait) >= 64 or sum(map(sum, (w[1] for w in wait))) >= 4 * block_ids * 64:
-                        yield flush()
-        if ids_:
-            wait.append((ids_, lens_, runs_))
-        if wait:
-            yield flush()
-
-    (docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{path}/blocks"))
+    raw.mapInArrow(code, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     own = F.aggregate("doc_lens", F.lit(0).cast("long"), lambda a, b: a + b)
     (spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(own).alias("n"))
@@ -241,10 +244,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 out = [(x["part"], d, x["first_start"] + int(o), int(k), zlib.crc32(run_ids[o:o + k].astype("<u4").tobytes()))
                        for x, run_ids in zip(r, ids)
                        for d, k, o in zip(x["doc_ids"], x["doc_lens"], np.r_[0, np.cumsum(x["doc_lens"])][:-1])]
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.int64()] * 4])],
-                    names=["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+                yield _batch(out, DOC_SCHEMA)
 
     docs = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").mapInArrow(run, DOC_SCHEMA)
     parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")  # one row per part

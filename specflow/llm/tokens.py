@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 
 from .common import large, string_bytes
 
-#: Chunks that a worker's cache holds before it starts anew; longer chunks are not kept.
-CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
+#: Chunks in each of the two generations of a worker's cache; longer chunks are not kept.
+CACHE_CHUNKS, CACHE_CHARS = 450_000, 48
 #: ASCII marks that end a chunk and, after a letter or digit, always start a new
 #: pre-token. Apostrophes (contractions) and <|> (special strings) are left out.
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
@@ -59,16 +59,21 @@ def family(path: str) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def _cache(path: str) -> dict[str, bytes]:
-    return {}
+def _cache(path: str) -> list[dict[str, bytes]]:
+    """The young generation and the old one."""
+    return [{}, {}]
 
 
 def _lookup(path: str, uniq: list[str]) -> list[bytes]:
     """ids (little-endian uint32) of different chunks, new ones by the library."""
-    cache = _cache(path)
-    if len(cache) > CACHE_CHUNKS:
-        cache.clear()
+    gens = _cache(path)
+    if len(gens[0]) > CACHE_CHUNKS:
+        gens[:] = {}, gens[0]
+    cache, old = gens
     found = [cache.get(c) for c in uniq]
+    for i, x in enumerate(found):
+        if x is None and (x := old.get(uniq[i])) is not None:
+            found[i] = cache[uniq[i]] = x
     new = [i for i, x in enumerate(found) if x is None]
     t = tokenizer(path) if new else None
     for lo in range(0, len(new), 4096):
@@ -130,13 +135,9 @@ def _chunks(path: str, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
         pieces = pc.split_pattern(pc.ascii_lower(col), " ")
         return pieces.values, pieces.offsets.to_numpy()
     # white space beside white space or beside rare characters: the strict rule
-    odd = pc.match_substring_regex(col, r"\s\s|\s$|^\s|[\x1c-\x1f\v\f]|[^\x00-\x7f\pL\pP]\s|\s[\pM\pZ\pC]").to_numpy(zero_copy_only=False)
-    pieces = pc.split_pattern(col, " ")
-    off = pieces.offsets.to_numpy()
-    values = pieces.values
-    lead = np.full(len(values), " ", dtype=object)
-    lead[off[:-1]] = ""
-    joined = pc.binary_join_element_wise(pa.array(lead, pa.large_string()), values, pa.scalar("", pa.large_string()))
+    odd = pc.match_substring_regex(col, r"\s\s|\s$|^\s|[\x00\x1c-\x1f\v\f]|[^\x00-\x7f\pL\pP]\s|\s[\pM\pZ\pC]").to_numpy(zero_copy_only=False)
+    pieces = pc.split_pattern(pc.replace_substring(col, " ", "\x00 "), "\x00")
+    off, joined = pieces.offsets.to_numpy(), pieces.values
     if not odd.any():
         return joined, off
     out, sizes = [], np.diff(off)
@@ -164,13 +165,6 @@ def count_tokens(path: str, col: pa.Array) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def token_histogram(path: str, col: pa.Array, size: int) -> np.ndarray:
-    """How often each id occurs in a slice of texts."""
-    flat, lens, codes, _ = _coded(path, col)
-    times = np.bincount(codes, minlength=len(lens))
-    return np.bincount(flat, weights=np.repeat(times, lens), minlength=size).astype(np.int64)
-
-
 def encode(path: str, col: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after another, offsets of the texts), each text
     closed by ``end_id`` if given."""
