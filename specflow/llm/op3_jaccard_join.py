@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, id_text, large, materialize
@@ -291,3 +291,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(ids, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the smallest doc_id of each component only, all columns kept.
+
+    Rows without words or without an id make no links and stay; of rows with the
+    same id and the same set of shingles one stays."""
+    got = jaccard_join(docs, id_col, text_col)
+    lost = materialize(got.filter(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct(), "jaccard-lost")
+    twice = materialize(got.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-twice")
+    key = F.col(id_col).cast("long")
+    left = docs.join(lost.select(F.col("doc_id").alias("_lost")), key == F.col("_lost"), "left_anti")
+    if twice.isEmpty():
+        return left
+    # rows that share an id: one for each different text
+    own = "_of"
+    while own in docs.columns:
+        own += "_"
+    rank = Window.partitionBy(id_col, text_col).orderBy(F.lit(1))
+    shared = left.join(twice.select(F.col("doc_id").alias("_twice")), key == F.col("_twice"), "left_semi")
+    alone = left.join(twice.select(F.col("doc_id").alias("_twice")), key == F.col("_twice"), "left_anti")
+    return alone.unionByName(shared.withColumn(own, F.row_number().over(rank)).filter(F.col(own) == 1).drop(own))

@@ -69,6 +69,13 @@ def op7_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names])
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    from .op8_decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids packed into sequences of 2048."""
     from .op9_packing import packing
@@ -77,7 +84,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_jaccard_join, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op9_packing)}
+    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_jaccard_join, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op8_decontamination, op9_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -16,6 +16,8 @@ _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All ASCII but letters and digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
 
@@ -34,8 +36,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(a), np.multiply.accumulate(b)
 
 
-def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts, offsets of the texts in them)."""
+def word_hashes(col: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, offsets of the texts in them).  ``between``
+    marks the bytes that are not part of words."""
     off, raw = string_bytes(col)
     n = len(raw)
     if n == 0:
@@ -43,7 +46,7 @@ def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     power, back = _powers(1 << (n - 1).bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[raw] * power[:n], out=total[1:])
-    space = _SPACE[raw]
+    space = between[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before = np.r_[True, space[:-1]] | cut[:-1]
