@@ -83,8 +83,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"))
 
 
+def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without byte strings that start earlier in the corpus."""
+    from .op10_repeated_text import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_jaccard_join, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op8_decontamination, op9_packing)}
+    f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_jaccard_join, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op8_decontamination, op9_packing,
+                                op10_repeated_text)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
