@@ -53,8 +53,8 @@ def airpls_batch(x: np.ndarray, lam: float = 1.0, itermax: int = 15) -> np.ndarr
     r, m = x.shape
     w = np.ones((r, m))
     z = np.zeros((r, m))
-    active = np.ones(r, dtype=bool)
     absx = np.abs(x).sum(axis=1)
+    active = absx > 0  # the baseline of an all-zero row is zero
     for i in range(1, itermax + 1):
         idx = np.flatnonzero(active)
         if idx.size == 0:
@@ -98,7 +98,7 @@ def remove_baseline(vec: DataFrame, lam: float = 1.0, itermax: int = 15, x_col:
     """X4 on ``(pkey, x array<double>)``; λ is a real parameter (Q2: the reference
     fixes it at 1).  NULL values must be removed first (F11)."""
     from specflow.operators.preprocess import assert_no_nulls_vec
-    checked = assert_no_nulls_vec(vec) if x_col == "x" else vec
+    checked = assert_no_nulls_vec(vec, x_col)
     schema = T.StructType([f if f.name != x_col else T.StructField(x_col, T.ArrayType(T.DoubleType()))
                            for f in checked.schema.fields])
     return checked.mapInPandas(_fn(lam, itermax, x_col), schema)

@@ -26,7 +26,7 @@ PRESETS = {"norm5_SC": NORM5_SC, "norm3_CL": NORM3_CL,
 def is_numeric_label(c) -> F.Column:
     """Label parses as a number."""
     return F.expr(f"try_cast({c} as double)").isNotNull() if isinstance(c, str) else \
-        F.try_to_number(c, F.lit("9999999999.9999999999")).isNotNull()
+        c.try_cast("double").isNotNull()
 
 
 def region_table(spark: SparkSession, regions) -> DataFrame:
@@ -244,8 +244,8 @@ def drop_channels_audit(long: DataFrame, axis: DataFrame, drop_idx: list[int]) -
                 "channels_after", "null_values")
 
 
-def assert_no_nulls_vec(vec: DataFrame) -> DataFrame:
-    """fail the job when any spectrum holds a NULL (before baseline removal)."""
-    return vec.withColumn("x", F.when(F.exists("x", lambda v: v.isNull() | F.isnan(v)),
-                                      F.raise_error(F.lit("The spectra contains NA values - remove and rerun")))
-                          .otherwise(F.col("x")))
+def assert_no_nulls_vec(vec: DataFrame, x_col: str = "x") -> DataFrame:
+    """fail the job when any spectrum holds a NULL or NaN (before baseline removal)."""
+    return vec.withColumn(x_col, F.when(F.exists(x_col, lambda v: v.isNull() | F.isnan(v)),
+                                        F.raise_error(F.lit("a spectrum has missing intensities: drop or fill them first")))
+                          .otherwise(F.col(x_col)))

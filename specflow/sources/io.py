@@ -76,18 +76,33 @@ def axis_scan(spectra_long: DataFrame) -> DataFrame:
 
 def read_result_folders(spark: SparkSession, root: str,
                         file_name: str = "modelling_results.csv") -> DataFrame:
-    """IO4 + U2: every ``modelling_results.csv`` below ``root`` with its folder."""
-    df = (spark.read.option("header", True).option("inferSchema", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
-          .csv(root))
-    df = df.toDF(*[c.strip() for c in df.columns])  # Q15: leading space in a header
-    path = F.col("_metadata.file_path")
-    return df.withColumn("folder", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+    """IO4 + U2: every ``modelling_results.csv`` below ``root`` with its folder.
+
+    Columns are aligned by name: files are read together with those that have
+    the same header, and a column that a file lacks is NULL."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
+    heads = files.text(root, wholetext=True).select(
+        F.regexp_extract("value", r"^\s*([^\r\n]*)", 1).alias("header"), F.col("_metadata.file_path").alias("path"))
+    out = None
+    for r in heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect():
+        df = spark.read.option("header", True).option("inferSchema", True).csv(r["paths"])
+        path = F.col("_metadata.file_path")
+        df = df.withColumn("folder", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1))
+        df = df.toDF(*[c.strip() for c in df.columns])  # Q15: leading space in a header
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no {file_name} below {root}")
+    return out
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """IO6: one writer for every output table."""
+                fmt: str = "parquet", mode: str = "overwrite", order_by: list | None = None) -> None:
+    """IO6: one writer for every output table.
+
+    T3: with ``order_by`` the rows keep that order over the files (file names
+    ascend with it) and inside each file; a range sort, no single task."""
+    if order_by:
+        df = df.orderBy(*order_by)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)

@@ -44,6 +44,11 @@ def test_result_folders_and_names(spark, tmp_path):
         (tmp_path / d / "other.csv").write_text("a\n1\n")
     r = io.read_result_folders(spark, str(tmp_path)).toPandas()
     assert sorted(r.folder) == ["run1", "run2"] and "model_intercept" in r.columns
+    (tmp_path / "run3").mkdir()
+    (tmp_path / "run3" / "modelling_results.csv").write_text("variable,loq,n_train,model_type,rmsecv\nMgO,1.5,7,OLS,0.25\n")
+    r = io.read_result_folders(spark, str(tmp_path)).toPandas().set_index("folder")
+    assert r.loc["run3", ["variable", "loq", "n_train", "model_type", "rmsecv"]].tolist() == ["MgO", 1.5, 7, "OLS", 0.25]
+    assert r.loc["run1", "model_type"] == "PLS" and np.isnan(r.loc["run1", "loq"]) and np.isnan(r.loc["run3", "model_intercept"])
     df = spark.createDataFrame([("/x/SiO2_PLS_model.asc",), ("Fe_T_kNN_model",)], "f string")
     v, m = io.parse_model_name("f")
     got = [tuple(x) for x in df.select(v, m).collect()]
