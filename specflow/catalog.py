@@ -1026,3 +1026,6 @@ def q_recipes(spark, sf):
     back = spark.read.parquet(path)
     return back.select("dataset", "recipe", "pkey", F.size("x").alias("n_channels"),
                        _r(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), 6).alias("x_sum"))
+
+
+from specflow import catalog_more  # noqa: E402,F401  registers the rest
