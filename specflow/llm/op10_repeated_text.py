@@ -1,12 +1,14 @@
-"""Removal of long repeated byte strings, exact over the whole corpus.
+"""Removal of long repeated byte strings, exact over the whole corpus, by run-length
+compressed Burrows-Wheeler indexes of the places that may repeat.
 
 Every string of ``length`` bytes has one *anchor*: the position of its smallest hash of 24 bytes.
 Equal strings have equal anchors at equal places, so strings meet by the hash of
 their anchor.  Step 1 shuffles a row for each anchor with a fingerprint of all
 strings that it stands for (its context).  Of equal contexts all but the first
 are repeats as a whole.  Step 2 fetches the bytes of the first of each context
-only where an anchor has several, and compares their strings one by one.  Step 3
-cuts the marked bytes out.
+only where an anchor has several, indexes them (rlindex) and streams them through the
+index: strings that reach the same interval are equal, and the later ones repeats.
+Step 3 cuts the marked bytes out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, id_text, large, materialize, string_bytes
+from .rlindex import repeats
 from .shingles import _powers, mix
 
 GRAM = 24
@@ -196,43 +199,107 @@ def _contexts(docs: DataFrame, want: DataFrame, length: int) -> DataFrame:
     return (docs.join(lists, ["doc_id", "th"]).mapInArrow(run, "h long, doc_id long, th int, pk long, data binary"))
 
 
-def _compare(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeats (begin, end) among the strings of contexts that share an anchor."""
+def _strings(rows: pa.RecordBatch):
+    """Offsets and bytes of the contexts."""
+    data = rows.column("data").cast(pa.large_binary())
+    off = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1 + data.offset)[data.offset:]
+    raw = np.frombuffer(data.buffers()[2], np.uint8, int(off[-1]))[off[0]:]
+    return off - off[0], raw
+
+
+def _marks(rows: pa.RecordBatch, row: np.ndarray, start: np.ndarray, length: int):
+    """Runs of repeated strings as (begin, end), one batch."""
+    if not len(row):
+        return
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]
+    lo = np.flatnonzero(new)
+    hi = np.r_[lo[1:], len(row)] - 1
+    d, th = rows.column("doc_id").to_numpy(), rows.column("th").to_numpy()
+    yield _batch("doc_id th a b", d[row[lo]], th[row[lo]], start[lo], start[hi] + length)
+
+
+def _later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Is there an equal key in a smaller doc_id, or at an earlier start of the same one?
+    Also the places of the first of each key."""
+    order = np.lexsort((start, doc, key))
+    k = key[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    lead = order[np.repeat(first, np.diff(np.r_[first, len(k)]))]
+    later = np.zeros(len(key), bool)
+    later[order] = (doc[order] > doc[lead]) | ((doc[order] == doc[lead]) & (start[order] > start[lead]))
+    return later, order[first]
+
+
+def _by_index(rows: pa.RecordBatch, length: int):
+    """Whole groups: their strings' intervals in a run-length index of the contexts."""
+    off, raw = _strings(rows)
+    row, place, interval = repeats(raw, off, length)
+    start = _unpack(rows.column("pk").to_numpy())[1][row] + place
+    later, _ = _later(interval, rows.column("doc_id").to_numpy()[row], start)
+    yield from _marks(rows, row[later], start[later], length)
+
+
+def _by_hash(rows: pa.RecordBatch, seen, length: int):
+    """A part of one large group: its strings' 64-bit hashes beside those of the first of
+    each string so far (key, doc_id, start).  Yields batches, then the new ``seen``."""
+    off, raw = _strings(rows)
+    n = np.diff(off) - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
+    total, back = _prefix(raw)
+    at = off[:-1][row] + place
+    key = mix((total[at + length] - total[at]) * back[at])
+    doc, start = rows.column("doc_id").to_numpy()[row], _unpack(rows.column("pk").to_numpy())[1][row] + place
+    key, doc, start = (np.r_[x, y] for x, y in zip(seen, (key, doc, start)))
+    row = np.r_[np.full(len(seen[0]), -1), row]
+    later, first = _later(key, doc, start)
+    hit = later & (row >= 0)
+    yield from _marks(rows, row[hit], start[hit], length)
+    yield key[first], doc[first], start[first]
+
+
+def _compare(contexts: DataFrame, length: int, index_bytes: int = 1 << 20, group_bytes: int = 8 << 20) -> DataFrame:
+    """Repeats (begin, end) among the strings of contexts that share an anchor.
+
+    Groups come whole into run-length indexes of about ``index_bytes``; a group of over
+    ``group_bytes`` streams past the hashes of its different strings instead."""
+    names = ["h", "doc_id", "th", "pk", "data"]
+
     def run(batches):
-        seen = None  # strings of the group that may go on: key, h, doc_id, start of the first
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        wait, held = [], 0  # batches that no index holds yet; the last group may go on
+        hot, seen = None, none
         for b in batches:
-            h, d, th, pk = (b.column(k).to_numpy() for k in ("h", "doc_id", "th", "pk"))
-            p, s1, s2 = _unpack(pk)
-            data = b.column("data").cast(pa.large_binary())
-            off = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1 + data.offset)[data.offset:]
-            raw = np.frombuffer(data.buffers()[2], np.uint8, int(off[-1]))[off[0]:]
-            off = off - off[0]
-            total, back = _prefix(raw)
-            n = s2 - s1 + 1
-            row = np.repeat(np.arange(len(h)), n)
-            step = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)][:-1], n)
-            at = off[:-1][row] + step
-            key = mix((total[at + length] - total[at]) * back[at]) ^ mix(h.view(np.uint64))[row]
-            hh, dd, start, row = h[row], d[row], s1[row] + step, row.astype(np.int64)
-            if seen is not None:
-                key, hh, dd, start = (np.r_[x, y] for x, y in zip(seen, (key, hh, dd, start)))
-                row = np.r_[np.full(len(seen[0]), -1), row]
-            order = np.lexsort((start, dd, key))
-            k = key[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            lead = order[np.repeat(first, np.diff(np.r_[first, len(k)]))]
-            later = np.zeros(len(key), bool)
-            later[order] = (dd[order] > dd[lead]) | ((dd[order] == dd[lead]) & (start[order] > start[lead]))
-            keep = order[first]
-            keep = keep[hh[keep] == h[-1]]
-            seen = key[keep], hh[keep], dd[keep], start[keep]
-            hit = np.flatnonzero(later & (row >= 0))
-            if len(hit):
-                r, s = row[hit], start[hit]
-                new = np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]
-                lo = np.flatnonzero(new)
-                hi = np.r_[lo[1:], len(r)] - 1
-                yield _batch("doc_id th a b", d[r[lo]], th[r[lo]], s[lo], s[hi] + length)
+            b = b.select(names)
+            if b.num_rows == 0:
+                continue
+            if hot is not None:  # the large group's next rows
+                more = int(np.searchsorted(b.column("h").to_numpy(), hot, "right"))
+                if more:
+                    *out, seen = _by_hash(b.slice(0, more), seen, length)
+                    yield from out
+                if more == b.num_rows:
+                    continue
+                b, hot, seen = b.slice(more), None, none
+            wait.append(b)
+            held += b.nbytes
+            if held < index_bytes:
+                continue
+            rows = pa.concat_batches(wait)
+            h = rows.column("h").to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            if last:
+                yield from _by_index(rows.slice(0, last), length)
+            rows = rows.slice(last)
+            wait, held = [rows], sum(len(x) for x in rows.column("data").to_pylist())
+            if held > group_bytes:
+                hot, wait, held = int(h[-1]), [], 0
+                *out, seen = _by_hash(rows, none, length)
+                yield from out
+        if wait:
+            yield from _by_index(pa.concat_batches(wait), length)
 
     return contexts.repartition("h").sortWithinPartitions("h", "doc_id", "pk").mapInArrow(run, "doc_id long, th int, a long, b long")
 
@@ -271,7 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text has no bytes.  Null doc_ids count as the smallest id.  Rows
     with the same id count as one document whose texts begin at the same place, so
     equal rows are treated alike.  Other columns are ignored; an empty table gives an empty result.
-    Strings are compared by 64-bit hashes within groups of equal 64-bit anchors.
+    Contexts are told apart by 64-bit hashes within groups of equal 64-bit anchors; so
+    are strings in groups too large for an index.
     """
     docs = id_text(docs, id_col, text_col)
     known = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.hash("text").alias("th"), "text", F.col("doc_id").alias("own_id"))
