@@ -84,14 +84,18 @@ def _group_key(stats: DataFrame, lang: str, source: str, p: str, least: int) ->
     small = n.filter(F.col(f"{p}n") < least).groupBy(f"{p}lang").agg(F.sum(f"{p}n").alias(f"{p}m"))
     names = n.join(small, f"{p}lang", "left").select(f"{p}g", F.when(F.col(f"{p}n") >= least, F.col(f"{p}g"))
             .when(F.col(f"{p}m") >= least, F.col(f"{p}lang")).otherwise(F.lit("\x02")).alias(f"{p}key"))
-    return stats.withColumn(f"{p}g", both).join(sized(names), f"{p}g").drop(f"{p}g")
+    names = materialize(names, "quality-groups")
+    return stats.withColumn(f"{p}g", both).join(hinted(names, is_small(names)), f"{p}g").drop(f"{p}g")
 
 
-def sized(groups: DataFrame, most: int = 100_000) -> DataFrame:
-    """A table with a row per group: broadcast if it has at most ``most`` rows (some
-    30 MB), else joined by shuffle, where adaptive execution splits frequent groups."""
-    groups = materialize(groups, "quality-groups")
-    return F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups
+def is_small(groups: DataFrame, most: int = 100_000) -> bool:
+    return groups.limit(most + 1).count() <= most
+
+
+def hinted(groups: DataFrame, small: bool) -> DataFrame:
+    """A table with a row per group: broadcast if there are at most 100,000 (some 30 MB),
+    else joined by shuffle, where adaptive execution splits frequent groups."""
+    return F.broadcast(groups) if small else groups
 
 
 def _cholesky(groups: DataFrame) -> DataFrame:
@@ -124,43 +128,49 @@ def _scatter(groups: DataFrame, var: dict[tuple[int, int], Column]) -> DataFrame
     return _cholesky(groups)
 
 
-def covariance_determinant(rows: DataFrame, p: str, most_steps: int = 30, tolerance: float = 1e-3) -> DataFrame:
+def covariance_determinant(rows: DataFrame, p: str, most_steps: int = 100, tolerance: float = 1e-2) -> DataFrame:
     """Centre mu_i and scatter (as l_i_j) of each group's INNER share with, as far as
     concentration steps lead, the smallest determinant.
 
     Starts from medians and median absolute deviations.  A step ranks a group's
     documents by distance (in classes of 1/16 of a power of two), and takes mean and
-    covariance of the nearest; steps go on until no group's log determinant
-    changes by ``tolerance``, and fail if that takes more than ``most_steps``.
+    covariance of the nearest; they replace the group's estimate if its log determinant falls
+    by over ``tolerance``.  Steps go on until no group's does, and fail if that takes more than
+    ``most_steps``.
     Of the data only a row per group leaves a step.
     """
     k = len(_N)
     x = [F.col(f"{p}{f}") for f in _N]
     med = rows.groupBy(f"{p}key").agg(*[F.median(x[i]).alias(f"mu_{i}") for i in range(k)])
-    mad = rows.join(sized(med), f"{p}key").groupBy(f"{p}key").agg(
+    med = materialize(med, "quality-medians")
+    small = is_small(med)
+    mad = rows.join(hinted(med, small), f"{p}key").groupBy(f"{p}key").agg(
         *[F.first(f"mu_{i}").alias(f"mu_{i}") for i in range(k)],
         *[F.median(F.abs(x[i] - F.col(f"mu_{i}"))).alias(f"mad_{i}") for i in range(k)])
     groups = _scatter(mad, {(i, i): F.pow(1.4826 * F.col(f"mad_{i}"), F.lit(2.0)) for i in range(k)})
     keep = [f"{p}key", "log_det", *[f"mu_{i}" for i in range(k)], *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)]]
-    groups = sized(groups.select(*keep))
+    groups = materialize(groups.select(*keep), "quality-estimate")
     for step in range(most_steps):
-        near = with_distance(rows, groups, p).withColumn(
+        near = with_distance(rows, hinted(groups, small), p).withColumn(
             f"{p}bin", F.ceil(16 * F.log2(F.greatest(F.col(f"{p}d2"), F.lit(2.0 ** -20)))).cast("long"))
-        edge = sized(near.groupBy(f"{p}key").agg(F.ceil(F.percentile(f"{p}bin", INNER)).alias(f"{p}edge")))
-        inner = near.join(edge, f"{p}key").filter(F.col(f"{p}bin") <= F.col(f"{p}edge"))
+        edge = near.groupBy(f"{p}key").agg(F.ceil(F.percentile(f"{p}bin", INNER)).alias(f"{p}edge"))
+        inner = near.join(hinted(edge, small), f"{p}key").filter(F.col(f"{p}bin") <= F.col(f"{p}edge"))
         m = inner.groupBy(f"{p}key").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s_{i}") for i in range(k)],
             *[F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(k) for j in range(i + 1)])
         m = m.select("*", *[(F.col(f"s_{i}") / F.col("n")).alias(f"mu_{i}") for i in range(k)])
         new = _scatter(m, {(i, j): CONSISTENCY * (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"mu_{i}") * F.col(f"mu_{j}"))
                            for i in range(k) for j in range(i + 1)}).select(*keep)
-        new = sized(new)
-        moved = new.join(groups.select(f"{p}key", F.col("log_det").alias("old")), f"{p}key").agg(
-            F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
-        groups = new
-        if step and (moved is None or moved < tolerance):
-            return groups
-    raise RuntimeError(f"concentration steps still move a log determinant by {moved:.3g} after {most_steps}")
+        old = groups.select(F.col(f"{p}key"), *[F.col(c).alias(f"old_{c}") for c in keep[1:]])
+        # a group whose determinant no longer falls stays as it is
+        falls = (F.col("log_det") < F.col("old_log_det") - tolerance) if step else F.lit(True)
+        groups = materialize(new.join(hinted(old, small), f"{p}key").select(
+            f"{p}key", *[F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in keep[1:]],
+            falls.alias("falls")), "quality-estimate")
+        if groups.filter("falls").isEmpty():
+            return groups.drop("falls")
+        groups = groups.drop("falls")
+    raise RuntimeError(f"concentration steps still lower a determinant after {most_steps}")
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -188,7 +198,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     fit = d.filter(~F.col(f"{p}base_failed")).select(f"{p}key", *[f"{p}{f}" for f in _N])
     groups = covariance_determinant(fit, p)
     left = [c for c in d.columns if c not in (f"{p}key", *[f"{p}{f}" for f in _N])]
-    far = with_distance(d.filter(~F.col(f"{p}base_failed")), groups, p).select(
+    far = with_distance(d.filter(~F.col(f"{p}base_failed")), hinted(groups, is_small(groups)), p).select(
         *left, (F.col(f"{p}d2") <= radius * radius).alias(f"{p}kept"))
     return far.unionByName(d.filter(F.col(f"{p}base_failed")).select(*left, F.lit(False).alias(f"{p}kept")))
 
