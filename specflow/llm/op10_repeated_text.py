@@ -121,16 +121,32 @@ def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names.split())
 
 
+def _after_lead(h: np.ndarray, c: np.ndarray, d: np.ndarray, pk: np.ndarray):
+    """For rows sorted by (h, c, doc_id, pk): the first row of each context, and whether a
+    row comes after it (in a larger doc_id, or at a later place of the same one)."""
+    at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    lead = np.repeat(at, np.diff(np.r_[at, len(h)]))
+    return at, (d > d[lead]) | ((d == d[lead]) & (pk >> 14 > pk[lead] >> 14))
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """A row for each anchor.  Of equal contexts in one batch only the first has its
+    comparison still to come: the others are repeats (done) and are dealt by their place, so an
+    anchor that very many documents share is no large group."""
     def run(batches):
         for b in byte_slices(batches):
             got = anchors(large(b.column("text")), length)
             if got:
                 t, p, d1, d2, h, c = got
-                ids, th = b.column("doc_id").to_numpy(), b.column("th").to_numpy()
-                yield _batch("h c doc_id th pk", h.view(np.int64), c.view(np.int64), ids[t], th[t], _pack(p, d1, d2))
+                ids, th = b.column("doc_id").to_numpy()[t], b.column("th").to_numpy()[t]
+                h, c, pk = h.view(np.int64), c.view(np.int64), _pack(p, d1, d2)
+                order = np.lexsort((pk, ids, c, h))
+                h, c, ids, th, pk = (x[order] for x in (h, c, ids, th, pk))
+                _, done = _after_lead(h, c, ids, pk)
+                route = np.where(done, mix((ids * 31 + pk).view(np.uint64)).view(np.int64), h)
+                yield _batch("route done h c doc_id th pk", route, done, h, c, ids, th, pk)
 
-    return docs.mapInArrow(run, "h long, c long, doc_id long, th int, pk long")
+    return docs.mapInArrow(run, "route long, done boolean, h long, c long, doc_id long, th int, pk long")
 
 
 _ROW = ("h", "c", "doc_id", "th", "pk")
@@ -142,9 +158,15 @@ def _shared(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         wait = None  # the first of each context of the group that may go on
         for b in batches:
-            new = [b.column(k).to_numpy() for k in _ROW]
-            yield from settle(wait, new, False)
-            wait = state.pop()
+            done = b.column("done").to_numpy(zero_copy_only=False)
+            cols = {k: b.column(k).to_numpy() for k in _ROW}
+            if done.any():
+                h, _, d, th, pk = (cols[k][done] for k in _ROW)
+                _, s1, s2 = _unpack(pk)
+                yield _batch("kind doc_id th a b h", np.zeros(len(h), np.int32), d, th, s1, s2 + length, h)
+            if not done.all():
+                yield from settle(wait, [cols[k][~done] for k in _ROW], False)
+                wait = state.pop()
         if wait is not None:
             yield from settle(wait, [x[:0] for x in wait], True)
 
@@ -156,16 +178,16 @@ def _shared(rows: DataFrame, length: int) -> DataFrame:
         fresh = np.arange(len(h)) >= old
         order = np.lexsort((pk, d, c, h))
         h, c, d, th, pk, fresh = (x[order] for x in (h, c, d, th, pk, fresh))
-        head = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-        at = np.flatnonzero(head)
-        lead = np.repeat(at, np.diff(np.r_[at, len(h)]))
-        p, s1, s2 = _unpack(pk)
-        rep = fresh & ((d > d[lead]) | ((d == d[lead]) & (p > p[lead])))
+        at, after = _after_lead(h, c, d, pk)
+        head = np.zeros(len(h), bool)
+        head[at] = True
+        _, s1, s2 = _unpack(pk)
+        rep = fresh & after
         yield _batch("kind doc_id th a b h", np.zeros(rep.sum(), np.int32), d[rep], th[rep], s1[rep], s2[rep] + length, h[rep])
         group = np.cumsum(np.r_[True, h[at][1:] != h[at][:-1]]) - 1
         several = np.bincount(group)[group] > 1
         # of equal places in rows that share an id each is a first one
-        tie = ~head & ~((d > d[lead]) | ((d == d[lead]) & (p > p[lead]))) & fresh
+        tie = ~head & ~after & fresh
         if not last:
             end = group == group[-1]
             state.append([x[at[end]] for x in (h, c, d, th, pk)])
@@ -173,7 +195,7 @@ def _shared(rows: DataFrame, length: int) -> DataFrame:
         send = np.r_[at[several], np.flatnonzero(tie)]
         yield _batch("kind doc_id th a b h", np.ones(len(send), np.int32), d[send], th[send], pk[send], pk[send], h[send])
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc_id", "pk").mapInArrow(
+    return rows.repartition("route").sortWithinPartitions("done", "h", "doc_id", "pk").mapInArrow(
         run, "kind int, doc_id long, th int, a long, b long, h long")
 
 
