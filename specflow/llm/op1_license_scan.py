@@ -31,13 +31,13 @@ LICENSES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-4-Clause", ("bsd 4 clause license?", "original bsd license", "four clause bsd license?")),
     ("0BSD", ("bsd zero clause license?", "zero clause bsd license?")),
     ("GPL-1.0", ("gnu general public license version? 1", "gnu gpl v1")),
-    ("GPL-2.0", ("gnu general public license version? 2 0?", "general public license v2")),
-    ("GPL-3.0", ("gnu general public license version? 3 0?", "general public license v3")),
+    ("GPL-2.0", ("gnu general public license version? 2 0?", "gnu? general public license v2")),
+    ("GPL-3.0", ("gnu general public license version? 3 0?", "gnu? general public license v3")),
     ("LGPL-2.0", ("gnu library general public license version? 2 0?",)),
-    ("LGPL-2.1", ("gnu lesser general public license version? 2 1", "lesser general public license v2 1")),
-    ("LGPL-3.0", ("gnu lesser general public license version? 3 0?", "lesser general public license v3")),
+    ("LGPL-2.1", ("gnu lesser general public license version? 2 1", "gnu? lesser general public license v2 1")),
+    ("LGPL-3.0", ("gnu lesser general public license version? 3 0?", "gnu? lesser general public license v3")),
     ("AGPL-1.0", ("affero general public license version? 1 0?",)),
-    ("AGPL-3.0", ("gnu? affero general public license version? 3 0?", "affero general public license v3")),
+    ("AGPL-3.0", ("gnu? affero general public license version? 3 0?", "gnu? affero general public license v3")),
     ("GFDL-1.2", ("gnu free documentation license version? 1 2",)),
     ("GFDL-1.3", ("gnu free documentation license version? 1 3",)),
     ("MPL-1.0", ("mozilla public license version? 1 0",)),
