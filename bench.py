@@ -20,7 +20,8 @@ HEADLINE = [
     "folds_grouped_orders", "stratify_customer", "fold_representativeness",
     "first_derivative", "normalize_norm5_SC", "resample_shifted_axis", "band_normalize",
     "baseline_removal", "gram_by_fold", "ols_from_moments", "knn_cv_grid",
-    "apply_model_metrics", "pls_train_report",
+    "apply_model_metrics", "pls_train_report", "linear_train_report", "pls2_report",
+    "preprocess_recipes", "tree_train_report", "outlier_iterations", "svr_train_report",
 ]
 
 
