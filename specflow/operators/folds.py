@@ -74,7 +74,7 @@ def grouped_folds(target: DataFrame, n_folds: int = 5,
     ranged = range_sorted(pairs, ["variable", "y", "s"], num_partitions)
     # one row per distinct (variable, value, sample): persisted because it feeds
     # the partition summary and the numbering; recomputation after a lost
-    # executor is deterministic (its input is checkpointed)
+    # executor repeats the range sort on a unique key, so it gives the same rows
     runs = ranged.mapInPandas(_local_runs, _RUN_SCHEMA).persist()
     summ = runs.groupBy("_pid").agg(
         F.max("_lrun").alias("_last_run"),

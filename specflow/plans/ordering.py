@@ -20,12 +20,6 @@ from pyspark.sql import functions as F
 _LOCAL_MASK = (1 << 33) - 1
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 ROWS_PER_RANGE = 1_000_000
 
 
@@ -34,12 +28,9 @@ def range_sorted(df: DataFrame, order_cols: list, num_partitions: int | None = N
 
     The partition count is explicit so that the persisted, numbered rows and
     the per-partition sizes always describe the same partitioning; without a
-    given count it follows the data: ~1M rows per range, at most
-    ``spark.sql.shuffle.partitions``."""
+    given count it follows the data: ~1M rows per range."""
     if not num_partitions:
-        df = df.persist()
-        n = df.count()
-        num_partitions = max(1, min(_num_partitions(df, None), -(-n // ROWS_PER_RANGE)))
+        num_partitions = max(1, -(-df.count() // ROWS_PER_RANGE))
     return df.repartitionByRange(int(num_partitions), *order_cols).sortWithinPartitions(*order_cols)
 
 
@@ -47,7 +38,7 @@ def partition_offsets(summary: DataFrame, size_col: str, out: str = "_offset") -
     """Exclusive running sum of ``size_col`` over partitions ordered by ``_pid``.
 
     ``summary`` has one row per non-empty partition, so this window is over
-    at most ``spark.sql.shuffle.partitions`` rows.
+    one row for each million rows numbered.
     """
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     return summary.withColumn(out, F.coalesce(F.sum(size_col).over(w), F.lit(0)).cast("long"))
