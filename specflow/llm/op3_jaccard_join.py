@@ -238,7 +238,7 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nearest_rounds: int = 4) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nearest_rounds: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     A document's set is that of its five-word shingles (a shorter text: its whole
@@ -277,14 +277,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        .dropDuplicates(["sid"]), "jaccard-sets")
     first = members.filter("lead <> sid").groupBy("sid").agg(F.min("lead").alias("lead"))
     tested = _verify(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), sets)
-    round_ = 0
-    while True:
+    # first each set's closest candidates, which merge most components; then all that are left
+    for nearest in [True] * nearest_rounds + [False]:
         label = components(tested.filter("linked")).withColumnRenamed("node", "sid")
-        more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, round_ < nearest_rounds), "jaccard-pairs")
+        more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, nearest), "jaccard-pairs")
         if more.isEmpty():
             break
         tested = tested.union(_verify(more.select("a", "b"), sets))
-        round_ += 1
+    label = components(tested.filter("linked")).withColumnRenamed("node", "sid")
     reps = facts.select("sid", "rep").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(reps.join(least, "comp").select("sid", "component_id"), "jaccard-components")
