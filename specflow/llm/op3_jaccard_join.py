@@ -182,6 +182,21 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", linked.alias("linked")), "jaccard-verified")
 
 
+def _merge(label: DataFrame | None, verified: DataFrame) -> DataFrame:
+    """(sid, comp) after the links among ``verified``: components of the components
+    so far, so an edge counts in one round only."""
+    links = verified.filter("linked").select("a", "b")
+    if label is None:
+        return components(links).withColumnRenamed("node", "sid")
+    at = lambda k: label.select(F.col("sid").alias(k), F.col("comp").alias(f"{k}_comp"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    root = components(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    nodes = links.select(F.col("a").alias("sid")).union(links.select("b")).distinct().join(label, "sid", "left_anti")
+    known = label.unionByName(nodes.withColumn("comp", F.col("sid")))
+    up = root.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return materialize(known.join(up, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")), "jaccard-labels")
+
+
 def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested: DataFrame, nearest: bool, cell: int = 2048) -> DataFrame:
     """Untested pairs (a, b) of different components that share a word and that
     size and dense sketch allow; with ``nearest`` only each set's closest in a cell.
@@ -277,14 +292,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        .dropDuplicates(["sid"]), "jaccard-sets")
     first = members.filter("lead <> sid").groupBy("sid").agg(F.min("lead").alias("lead"))
     tested = _verify(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), sets)
+    label = _merge(None, tested)
     # first each set's closest candidates, which merge most components; then all that are left
     for nearest in [True] * nearest_rounds + [False]:
-        label = components(tested.filter("linked")).withColumnRenamed("node", "sid")
         more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, nearest), "jaccard-pairs")
         if more.isEmpty():
             break
-        tested = tested.union(_verify(more.select("a", "b"), sets))
-    label = components(tested.filter("linked")).withColumnRenamed("node", "sid")
+        new = _verify(more.select("a", "b"), sets)
+        label = _merge(label, new)
+        tested = tested.union(new)
     reps = facts.select("sid", "rep").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(reps.join(least, "comp").select("sid", "component_id"), "jaccard-components")
