@@ -5,6 +5,7 @@ An item's score for a passage is the sum of the BM25 weights of its terms that t
 is retrieved if that is at least a share of the item's score for itself.  Items stand in blocks.
 As in block-max WAND, a passage first meets the blocks' largest weights: where even their sum
 (with all that common terms could add) stays below the threshold, none of the block's items is scored.
+Common terms stay without postings only in blocks whose items they cannot retrieve on their own.
 The bound of a passage is that of its two cells, so words are looked up once.
 Retrieved items count only if the passage also holds enough of their question and of their answer.
 """
@@ -12,6 +13,7 @@ Retrieved items count only if the passage also holds enough of their question an
 from __future__ import annotations
 
 import re
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .shingles import MARKS, mix, word_hashes
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 K1, B = 1.2, 0.75
 _SLICE = 4 << 20
+#: Block hits that are summed at a time, and rows that leave at a time.
+_HITS, _ROWS = 1 << 22, 1 << 16
 
 
 def _words(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +58,8 @@ def _grams(words: np.ndarray, size: int = 3) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of one shard of items, with block maxima."""
+    """The inverted index of one shard of items, with block maxima.  ``ids`` are the names under
+    which texts are found."""
 
     def __init__(self, ids: list[int], texts: list[str], share: float, block: int, common: float):
         words, off = _words(texts)
@@ -81,6 +86,8 @@ class Index:
         b = np.repeat(np.arange(len(tf)) // block, [len(x) for x in self.terms])
         x = np.concatenate(self.weights) if tf else np.zeros(0)
         keep = rare[t]
+        for k in np.flatnonzero(self.rest >= share - 1e-9):
+            self._post_common(int(k), slice(*np.searchsorted(b, [k, k + 1])), t, x, keep, df)
         key, at = np.unique(t[keep] * blocks + b[keep], return_inverse=True)
         self.most = np.zeros(len(key))
         np.maximum.at(self.most, at, x[keep])
@@ -90,6 +97,23 @@ class Index:
         q = [_words(list(p)) for p in self.parts]
         self.grams = [(_grams(h[:o[1]]), _grams(h[o[1]:])) for h, o in q]
 
+    def _post_common(self, b: int, at: slice, t: np.ndarray, x: np.ndarray, keep: np.ndarray, df: np.ndarray) -> None:
+        """Postings for the rarest of block ``b``'s common terms, until the rest of them
+        adds at most half the threshold: no item is then retrieved without a hit."""
+        terms, weights, posted = t[at], x[at], keep[at]
+        item = np.repeat(np.arange(len(self.terms[b * self.block:(b + 1) * self.block])),
+                         [len(v) for v in self.terms[b * self.block:(b + 1) * self.block]])
+        common = np.unique(terms[~posted])
+        common = common[np.argsort(df[common], kind="stable")]
+        place = np.zeros(len(df), np.int64)
+        place[common] = np.arange(len(common))
+        sums = np.zeros((item[-1] + 1, len(common)))
+        sums[item[~posted], place[terms[~posted]]] = weights[~posted]
+        left = (sums.sum(axis=1)[:, None] - np.cumsum(sums, axis=1)).max(axis=0)
+        n = int(np.argmax(left <= self.share / 2)) + 1
+        posted |= np.isin(terms, common[:n])  # a view of keep
+        self.rest[b] = max(0.0, float(left[n - 1]))
+
     def find(self, col: pa.Array) -> list[tuple]:
         """(text, item, score, question overlap, answer overlap, first word) of all
         retrieved pairs of passages and items that hold question and answer."""
@@ -105,10 +129,26 @@ class Index:
         text = np.repeat(np.arange(len(n)), n)
         cell = first[text] + (np.arange(len(h)) - off[text]) // step
         hit = np.flatnonzero(term >= 0)
-        count = self.post[term[hit] + 1] - self.post[term[hit]]
-        at = np.arange(count.sum()) + np.repeat(self.post[term[hit]] - np.r_[0, np.cumsum(count)][:-1], count)
-        key = np.repeat(cell[hit], count) * self.blocks + self.post_block[at]
-        total = int(first[-1]) * self.blocks
+        hits = np.unique(cell[hit] * len(self.vocab) + term[hit])  # a term counts once a cell
+        hits = hits // len(self.vocab), hits % len(self.vocab)
+        owner = np.repeat(np.arange(len(n)), cells)
+        count = np.bincount(hits[0], weights=self.post[hits[1] + 1] - self.post[hits[1]], minlength=len(owner))
+        part = (np.cumsum(count) - count) // _HITS
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(owner)]
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            c, b = self._live(hits, first, owner, int(lo), int(hi))
+            found += self._score(h, off, term, first, owner, c, b)
+        return found
+
+    def _live(self, hits: tuple, first: np.ndarray, owner: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first cell, block) of the passages from cells ``lo`` to ``hi`` that may reach the threshold."""
+        s = slice(*np.searchsorted(hits[0], [lo, hi + 1]))  # the last passage ends in cell hi
+        cell, term = hits[0][s] - lo, hits[1][s]
+        count = self.post[term + 1] - self.post[term]
+        at = np.arange(count.sum()) + np.repeat(self.post[term] - np.r_[0, np.cumsum(count)][:-1], count)
+        key = np.repeat(cell, count) * self.blocks + self.post_block[at]
+        total = (hi + 1 - lo) * self.blocks
         if total <= 1 << 24:
             bound = np.bincount(key, weights=self.most[at], minlength=total)
             own = np.flatnonzero(bound)
@@ -117,20 +157,22 @@ class Index:
             own, back = np.unique(key, return_inverse=True)
             value = np.bincount(back, weights=self.most[at])
         # a passage is a cell and the next one of the same text
-        owner = np.repeat(np.arange(len(n)), cells)
-        c, b = own // self.blocks, own % self.blocks
+        c = own // self.blocks + lo
         has_next = c + 1 < first[owner[c] + 1]
         has_prev = c > first[owner[c]]
-        pk = np.concatenate([own, own[has_prev] - self.blocks])
-        pv = np.concatenate([value, value[has_prev]])
         # passages that begin with a text's last cell are held by the passage before, if there is one
-        keep = np.concatenate([has_next | ~has_prev, np.ones(has_prev.sum(), bool)])
-        pk, back = np.unique(pk[keep], return_inverse=True)
-        pv = np.bincount(back, weights=pv[keep])
-        c, b = pk // self.blocks, pk % self.blocks
-        live = np.flatnonzero(pv + self.rest[b] >= self.share - 1e-9)
+        begins, ends = (c < hi) & (has_next | ~has_prev), has_prev & (c > lo)
+        pk, back = np.unique(np.concatenate([own[begins], own[ends] - self.blocks]), return_inverse=True)
+        pv = np.bincount(back, weights=np.concatenate([value[begins], value[ends]]), minlength=len(pk))
+        pk = pk[pv + self.rest[pk % self.blocks] >= self.share - 1e-9]
+        return pk // self.blocks + lo, pk % self.blocks
+
+    def _score(self, h: np.ndarray, off: np.ndarray, term: np.ndarray, first: np.ndarray, owner: np.ndarray,
+               c: np.ndarray, b: np.ndarray) -> list[tuple]:
+        """The retrieved items of the blocks ``b`` for the passages from the cells ``c``."""
+        step = self.longest
         found, cache = [], (-1, None, None, None)
-        for i in live:
+        for i in range(len(c)):
             d = int(owner[c[i]])
             lo = int(off[d] + (c[i] - first[d]) * step)
             hi = min(lo + 2 * step, int(off[d + 1]))
@@ -162,21 +204,23 @@ def _overlap(grams: np.ndarray, size: int, held: list[np.ndarray]) -> float:
 
 
 def shards(items: DataFrame, shard_bytes: int, min_words: int, share: float, block: int, common: float):
-    """Indexes over parts of the items of about ``shard_bytes`` text bytes each, one at a time."""
+    """Indexes over parts of the items of about ``shard_bytes`` text bytes each, one at a time,
+    each with the ids of its texts: equal texts are indexed once."""
     d = id_text(items, "item_id", "text").filter("doc_id is not null")
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // shard_bytes))
     for i in range(n):
-        rows = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i).orderBy("doc_id", "text").toArrow()  # bounded by shard_bytes
-        ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
+        part = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i)
+        rows = part.groupBy("text").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).orderBy("text").toArrow()  # bounded by shard_bytes
+        ids, texts = rows["ids"].to_pylist(), rows["text"].to_pylist()
         enough = np.diff(_words(texts)[1]) >= min_words if texts else []
         ids, texts = [x for x, ok in zip(ids, enough) if ok], [x for x, ok in zip(texts, enough) if ok]
         if ids:
-            yield Index(ids, texts, share, block, common)
+            yield Index(list(range(len(texts))), texts, share, block, common), ids
 
 
 def _pairs(index: Index, col: pa.Array, overlap: float) -> dict[tuple[int, int], tuple]:
-    """The best passage of each (text, item) that holds question and answer."""
+    """The best passage of each (text, item text) that holds question and answer."""
     best: dict[tuple[int, int], tuple] = {}
     for d, item, score, q, a, at in index.find(col):
         if q >= overlap and a >= overlap:
@@ -186,6 +230,17 @@ def _pairs(index: Index, col: pa.Array, overlap: float) -> dict[tuple[int, int],
     return best
 
 
+def _by_id(best: dict[tuple[int, int], tuple], ids: list[list[int]]):
+    """(text, item id, best passage): one for each id, which may have several texts."""
+    for d, found in groupby(sorted(best), key=lambda x: x[0]):
+        own: dict[int, tuple] = {}
+        for _, k in found:
+            for item in ids[k]:
+                own[item] = max(best[d, k], own.get(item, (-1.0,)))
+        for item, x in own.items():
+            yield d, item, x
+
+
 def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.6, min_words: int = 8,
                  block: int = 8, common: float = 0.1, shard_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of ``docs`` and item that it holds: doc_id, item_id, score (1:
@@ -194,21 +249,22 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap:
     Passages are twice as long as the longest item and overlap by half, so every run of an
     item's length lies in one of them; all passages of whole texts are queries.  Overlaps
     are shares of a part's three-word runs.  Items with fewer than ``min_words`` words, with
-    null text or id are not looked for.  Each repeated row is searched; rows with null text give
+    null text or id are not looked for; ids with equal texts are all found.  Each repeated row is searched; rows with null text give
     nothing; a null doc_id stays null; other columns are ignored; empty tables give no rows.
     The index is broadcast in shards of about ``shard_bytes`` of items; idf values are those of a shard.
     """
     spark = docs.sparkSession
     d = id_text(docs)
     out = None
-    for index in shards(items, shard_bytes, min_words, share, block, common):
-        held = spark.sparkContext.broadcast(index)
+    for shard in shards(items, shard_bytes, min_words, share, block, common):
+        held = spark.sparkContext.broadcast(shard)
 
         def run(batches, held=held):
             for b in byte_slices(batches, limit=_SLICE):
+                index, names = held.value
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[d], item, s, q, a, -at) for (d, item), (_, s, at, q, a) in _pairs(held.value, b.column("text"), overlap).items()]
-                if rows:
+                found = _by_id(_pairs(index, b.column("text"), overlap), names)
+                while rows := [(ids[d], item, s, q, a, -at) for d, item, (_, s, at, q, a) in islice(found, _ROWS)]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int64()])],
                         names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -223,8 +279,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", sha
     """The rows of ``docs`` that hold no item, with all their columns; no shuffle."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for index in shards(items, shard_bytes, min_words, share, block, common):
-        held = spark.sparkContext.broadcast(index)
+    for shard in shards(items, shard_bytes, min_words, share, block, common):
+        held = spark.sparkContext.broadcast(shard)
 
         def run(batches, held=held):
             for b in batches:
@@ -233,7 +289,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", sha
                 keep = np.ones(b.num_rows, bool)
                 for s in byte_slices([plain], limit=_SLICE):
                     row = s.column("row").to_numpy()
-                    for d, _ in _pairs(held.value, s.column("text"), overlap):
+                    for d, _ in _pairs(held.value[0], s.column("text"), overlap):
                         keep[row[d]] = False
                 yield b.filter(pa.array(keep))
 

@@ -375,6 +375,43 @@ def test_block_bounds_lose_nothing():
     assert got == want and want
 
 
+def test_decontamination_with_a_large_group_of_items(spark):
+    """A third of the items are one text under different ids, then nearly one text."""
+    from specflow.llm.op8_decontamination import contaminated, decontaminate
+
+    same = prose(2101, 30)
+    rest = [(i, prose(2200 + i, 25)) for i in range(20)]
+    rows = [(1, f"{prose(3101, 90)} {same} {prose(3102, 90)}"), (2, prose(3103, 150)), (3, f"{prose(3104, 60)} {rest[4][1]}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for copies, shard in (([same] * 10, 1200), ([f"extra{i} {same}" for i in range(10)], 1 << 20)):
+        bench = spark.createDataFrame([(100 + i, x) for i, x in enumerate(copies)] + rest, "item_id long, text string").coalesce(1)
+        got = [(r["doc_id"], r["item_id"]) for r in contaminated(d, bench, shard_bytes=shard).collect()]
+        assert sorted(got) == [(1, 100 + i) for i in range(10)] + [(3, 4)]
+        assert {r["doc_id"] for r in decontaminate(d, bench, shard_bytes=shard).collect()} == {2}
+
+
+@pytest.mark.parametrize("hits", [1 << 22, 50])
+def test_block_bounds_with_common_terms_only(monkeypatch, hits):
+    """Items of a few words that all are common are retrieved like the others, in pieces of any size."""
+    import pyarrow as pa
+    from specflow.llm import op8_decontamination as o
+
+    monkeypatch.setattr(o, "_HITS", hits)
+    texts = [" ".join(f"w{(7 * i + j * j) % 13}" for j in range(12)) for i in range(40)] + [prose(2300 + i, 20) for i in range(10)]
+    docs = [f"{prose(3200 + i, 60)} {texts[i]} {prose(3300 + i, 45)} {texts[49 - i]}" for i in range(50)]
+    index = o.Index(list(range(50)), texts, 0.6, 4, 0.1)
+    got = {(d, item, at) for d, item, _, _, _, at in index.find(pa.array(docs, pa.large_string()))}
+    h, off = o._words(docs)
+    want = set()
+    for d in range(len(docs)):
+        n = int(off[d + 1] - off[d])
+        for lo in range(0, max(1, -(-n // index.longest) - 1) * index.longest, index.longest):
+            held = set(h[off[d] + lo:off[d] + min(n, lo + 2 * index.longest)].tolist())
+            want |= {(d, int(index.ids[k]), lo) for k, t in enumerate(index.terms)
+                     if sum(w for w, x in zip(index.weights[k], index.vocab[t].tolist()) if x in held) >= 0.6 - 1e-9}
+    assert got == want and {(d, d) for d in range(50)} <= {x[:2] for x in got}
+
+
 # ------------------------------------------------------------------ 10
 def without_repeats(rows, length):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0]))
