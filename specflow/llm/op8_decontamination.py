@@ -29,6 +29,8 @@ K1, B = 1.2, 0.75
 _SLICE = 4 << 20
 #: Block hits that are summed at a time, and rows that leave at a time.
 _HITS, _ROWS = 1 << 22, 1 << 16
+#: Words of a part of which one may differ: it is in 3 of 8 three-word runs.
+_PART = 10
 
 
 def _words(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +48,19 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(w[:len(w) // 2]), " ".join(w[len(w) // 2:])
 
 
+def _parts(words: np.ndarray, n_question: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The runs of question and answer, and their length in words.  One word changed, dropped or
+    put in anywhere leaves 0.6 of a part's runs: a part under ``_PART`` words takes words of the
+    other, and an item that hasn't enough for both is one part, with shorter runs if need be."""
+    n = len(words)
+    if n >= 2 * _PART:
+        cut = min(max(n_question, _PART), n - _PART)
+        return (_grams(words[:cut]), _grams(words[cut:])), 3
+    size = 3 if n >= _PART else 2 if n >= 6 else 1
+    g = _grams(words, size)
+    return (g, g), size
+
+
 def _grams(words: np.ndarray, size: int = 3) -> np.ndarray:
     """Hashes of runs of three words, or of all words if there are fewer."""
     size = min(size, len(words))
@@ -66,7 +81,6 @@ class Index:
         n = np.diff(off)
         order = np.argsort(n, kind="stable")  # items of like length share a block
         self.ids = np.array(ids, np.int64)[order]
-        self.parts = [split_item(texts[i]) for i in order]
         runs = [words[off[i]:off[i + 1]] for i in order]
         self.longest = int(n.max(initial=1))
         tf = [np.unique(r, return_counts=True) for r in runs]
@@ -94,8 +108,9 @@ class Index:
         self.post_block = key % max(blocks, 1)
         self.post = np.searchsorted(key // max(blocks, 1), np.arange(len(self.vocab) + 1))
         self.blocks = blocks
-        q = [_words(list(p)) for p in self.parts]
-        self.grams = [(_grams(h[:o[1]]), _grams(h[o[1]:])) for h, o in q]
+        asked = np.diff(_words([split_item(texts[i])[0] for i in order])[1]) if len(order) else []
+        parts = [_parts(r, int(q)) for r, q in zip(runs, asked)]
+        self.grams, self.sizes = [g for g, _ in parts], [size for _, size in parts]
 
     def _post_common(self, b: int, at: slice, t: np.ndarray, x: np.ndarray, keep: np.ndarray, df: np.ndarray) -> None:
         """Postings for the rarest of block ``b``'s common terms, until the rest of them
@@ -186,13 +201,10 @@ class Index:
                 if score >= self.share - 1e-9:
                     if cache[2] is None:
                         cache = (*cache[:2], [np.unique(_run_grams(h[lo:hi], s)) for s in (1, 2, 3)], None)
-                    q, a = (_overlap(g, w, cache[2]) for g, w in zip(self.grams[k], self._sizes(k)))
+                    q, a = (_overlap(g, self.sizes[k], cache[2]) for g in self.grams[k])
                     found.append((d, int(self.ids[k]), score, q, a, lo - int(off[d])))
         return found
 
-    def _sizes(self, k: int) -> tuple[int, int]:
-        return tuple(min(3, max(1, len(_words([p])[0]))) for p in self.parts[k])
-
 
 def _run_grams(words: np.ndarray, size: int) -> np.ndarray:
     return _grams(words, size) if len(words) >= size else np.zeros(0, np.uint64)
@@ -248,7 +260,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap:
 
     Passages are twice as long as the longest item and overlap by half, so every run of an
     item's length lies in one of them; all passages of whole texts are queries.  Overlaps
-    are shares of a part's three-word runs.  Items with fewer than ``min_words`` words, with
+    are shares of a part's three-word runs; the answer is the last sentence, moved so that both parts have
+    ten words, and items under twenty words are one part, whose overlap counts for both.  Items with fewer than ``min_words`` words, with
     null text or id are not looked for; ids with equal texts are all found.  Each repeated row is searched; rows with null text give
     nothing; a null doc_id stays null; other columns are ignored; empty tables give no rows.
     The index is broadcast in shards of about ``shard_bytes`` of items; idf values are those of a shard.

@@ -412,6 +412,27 @@ def test_block_bounds_with_common_terms_only(monkeypatch, hits):
     assert got == want and {(d, d) for d in range(50)} <= {x[:2] for x in got}
 
 
+def test_items_with_a_changed_word_are_found():
+    """One word changed, dropped or put in at each place, whatever the length of the last sentence."""
+    import pyarrow as pa
+    from specflow.llm.op8_decontamination import Index, _pairs
+
+    plain = lambda s, n: prose(s, n).replace(".", "").replace(",", "")
+    texts = [f"{plain(2400 + 10 * q + a, q)}. {plain(2500 + 10 * q + a, a)}" for q in (2, 4, 9, 12, 30) for a in (1, 3, 6, 9, 10, 25) if q + a >= 8]
+    index = Index(list(range(len(texts))), texts, 0.6, 8, 0.1)
+    docs, want = [], []
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w)):
+            for new in (["zzchanged"], [], [w[i], "zzadded"]):
+                docs.append(f"{plain(3500 + k, 70)} {' '.join(w[:i] + new + w[i + 1:])} {plain(3600 + k, 60)}")
+                want.append(k)
+    got = _pairs(index, pa.array(docs, pa.large_string()), 0.6)
+    assert not [(texts[k], docs[d]) for d, k in enumerate(want) if (d, k) not in got]
+    halves = [" ".join(t.split()[:15]) for t in texts if len(t.split()) > 30] + [prose(3700 + i, 300) for i in range(30)]
+    assert not _pairs(index, pa.array(halves, pa.large_string()), 0.6)
+
+
 # ------------------------------------------------------------------ 10
 def without_repeats(rows, length):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0]))
