@@ -8,12 +8,14 @@ As in block-max WAND, a passage first meets the blocks' largest weights: where e
 Common terms stay without postings only in blocks whose items they cannot retrieve on their own.
 The bound of a passage is that of its two cells, so words are looked up once.
 Retrieved items count only if the passage also holds enough of their question and of their answer.
+Items of a few words are looked for apart from the index, as exact sequences of words.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import groupby, islice
+from functools import partial
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,34 @@ def _grams(words: np.ndarray, size: int = 3) -> np.ndarray:
     return h
 
 
+class Sequences:
+    """Short items, each found where a text holds all its words in a row."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        words, off = _words(texts)
+        by_size: dict[int, dict[int, list[int]]] = {}
+        for i, lo, hi in zip(ids, off[:-1], off[1:]):
+            if hi > lo:  # an item without words is held by no text
+                by_size.setdefault(int(hi - lo), {}).setdefault(int(_grams(words[lo:hi], int(hi - lo))[0]), []).append(i)
+        self.sizes = {n: (np.array(sorted(x), np.uint64), [x[k] for k in sorted(x)]) for n, x in by_size.items()}
+
+    def find(self, col: pa.Array) -> list[tuple]:
+        """As ``Index.find``: the first place of each item in each text, with full score and overlaps."""
+        h, off = _words(col)
+        text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        found = []
+        for n, (keys, items) in self.sizes.items():
+            if len(h) < n:
+                continue
+            g = _grams(h, n)
+            k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            at = np.flatnonzero((keys[k] == g) & (text[:len(g)] == text[n - 1:]))
+            _, one = np.unique(text[at] * len(keys) + k[at], return_index=True)  # the first of equals
+            for i in at[one]:
+                found += [(int(text[i]), item, 1.0, 1.0, 1.0, int(i - off[text[i]])) for item in items[k[i]]]
+        return found
+
+
 class Index:
     """The inverted index of one shard of items, with block maxima.  ``ids`` are the names under
     which texts are found."""
@@ -217,7 +247,7 @@ def _overlap(grams: np.ndarray, size: int, held: list[np.ndarray]) -> float:
 
 def shards(items: DataFrame, shard_bytes: int, min_words: int, share: float, block: int, common: float):
     """Indexes over parts of the items of about ``shard_bytes`` text bytes each, one at a time,
-    each with the ids of its texts: equal texts are indexed once."""
+    each with the sequences of the part's short items and the ids of its texts: equal texts are indexed once."""
     d = id_text(items, "item_id", "text").filter("doc_id is not null")
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // shard_bytes))
@@ -225,16 +255,16 @@ def shards(items: DataFrame, shard_bytes: int, min_words: int, share: float, blo
         part = d.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == i)
         rows = part.groupBy("text").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).orderBy("text").toArrow()  # bounded by shard_bytes
         ids, texts = rows["ids"].to_pylist(), rows["text"].to_pylist()
-        enough = np.diff(_words(texts)[1]) >= min_words if texts else []
-        ids, texts = [x for x, ok in zip(ids, enough) if ok], [x for x, ok in zip(texts, enough) if ok]
         if ids:
-            yield Index(list(range(len(texts))), texts, share, block, common), ids
+            long = np.diff(_words(texts)[1]) >= min_words
+            yield [kind([int(k) for k in rows], [texts[k] for k in rows]) for kind, rows in (
+                (partial(Index, share=share, block=block, common=common), np.flatnonzero(long)), (Sequences, np.flatnonzero(~long)))], ids
 
 
-def _pairs(index: Index, col: pa.Array, overlap: float) -> dict[tuple[int, int], tuple]:
+def _pairs(indexes: list, col: pa.Array, overlap: float) -> dict[tuple[int, int], tuple]:
     """The best passage of each (text, item text) that holds question and answer."""
     best: dict[tuple[int, int], tuple] = {}
-    for d, item, score, q, a, at in index.find(col):
+    for d, item, score, q, a, at in chain.from_iterable(x.find(col) for x in indexes):
         if q >= overlap and a >= overlap:
             new = (q + a, score, -at, q, a)
             if new > best.get((d, item), (-1.0,)):
@@ -261,8 +291,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap:
     Passages are twice as long as the longest item and overlap by half, so every run of an
     item's length lies in one of them; all passages of whole texts are queries.  Overlaps
     are shares of a part's three-word runs; the answer is the last sentence, moved so that both parts have
-    ten words, and items under twenty words are one part, whose overlap counts for both.  Items with fewer than ``min_words`` words, with
-    null text or id are not looked for; ids with equal texts are all found.  Each repeated row is searched; rows with null text give
+    ten words, and items under twenty words are one part, whose overlap counts for both.  Items with fewer than ``min_words`` words are found as
+    exact sequences of words (score and overlaps 1, first_word is that of the sequence).  Items without
+    words, with null text or id are not looked for; ids with equal texts are all found.  Each repeated row is searched; rows with null text give
     nothing; a null doc_id stays null; other columns are ignored; empty tables give no rows.
     The index is broadcast in shards of about ``shard_bytes`` of items; idf values are those of a shard.
     """
@@ -274,9 +305,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap:
 
         def run(batches, held=held):
             for b in byte_slices(batches, limit=_SLICE):
-                index, names = held.value
+                indexes, names = held.value
                 ids = b.column("doc_id").to_pylist()
-                found = _by_id(_pairs(index, b.column("text"), overlap), names)
+                found = _by_id(_pairs(indexes, b.column("text"), overlap), names)
                 while rows := [(ids[d], item, s, q, a, -at) for d, item, (_, s, at, q, a) in islice(found, _ROWS)]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int64()])],

@@ -427,10 +427,26 @@ def test_items_with_a_changed_word_are_found():
             for new in (["zzchanged"], [], [w[i], "zzadded"]):
                 docs.append(f"{plain(3500 + k, 70)} {' '.join(w[:i] + new + w[i + 1:])} {plain(3600 + k, 60)}")
                 want.append(k)
-    got = _pairs(index, pa.array(docs, pa.large_string()), 0.6)
+    got = _pairs([index], pa.array(docs, pa.large_string()), 0.6)
     assert not [(texts[k], docs[d]) for d, k in enumerate(want) if (d, k) not in got]
     halves = [" ".join(t.split()[:15]) for t in texts if len(t.split()) > 30] + [prose(3700 + i, 300) for i in range(30)]
-    assert not _pairs(index, pa.array(halves, pa.large_string()), 0.6)
+    assert not _pairs([index], pa.array(halves, pa.large_string()), 0.6)
+
+
+def test_short_items_are_word_sequences(spark):
+    """Items under eight words are found as their words in a row, in one text, and not otherwise."""
+    from specflow.llm.op8_decontamination import contaminated, decontaminate
+
+    items = [(1, "What is zeal?"), (2, "Why 7 zz?\nNine yy xx ww"), (3, "zeal"), (4, "what IS zeal"), (5, "?!"), (6, ""), (7, prose(2601, 20)), (7, "zz top")]
+    rows = [(1, f"{prose(3801, 40)} so, what is -- Zeal, then"), (2, "what is"), (3, "zeal what is"), (4, "why 7 zz nine yy xx ww"), (5, "why 7 zz nine yy xx"),
+            (6, "Zeals what is"), (7, f"ZZ top {prose(2601, 20)} zz. TOP"), (8, None), (9, "?!"), (1, "zz top")]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["doc_id"], r["item_id"]) for r in contaminated(d, bench).collect()]
+    assert sorted(got) == [(1, 1), (1, 3), (1, 4), (1, 7), (3, 3), (4, 2), (7, 7)]
+    assert sorted(r["doc_id"] for r in decontaminate(d, bench).collect()) == [2, 5, 6, 8, 9]
+    short = contaminated(d, bench.filter("item_id = 1"))
+    assert [tuple(r) for r in short.collect()] == [(1, 1, 1.0, 1.0, 1.0, 41)]
 
 
 # ------------------------------------------------------------------ 10
