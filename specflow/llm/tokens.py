@@ -6,7 +6,8 @@ chunks in order.  Repeated chunks are encoded once per Python worker (a
 bounded cache).  Two families of vocabulary files are known:
 
 ``word``  white space is dropped and letters are lower-cased by the file's
-          normalizer; every ASCII white space is a safe boundary.
+          normalizer; every ASCII white space is a safe boundary.  ASCII chunks
+          without ``<|`` are lower-cased before they are looked up.
 ``byte``  byte-level files; the place before a single space that follows and
           precedes other characters is a safe boundary.  Texts with runs of
           white space are cut by a stricter rule only.
@@ -99,6 +100,10 @@ def _unique_ids(path: str, uniq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if family(path) == "whole":
         ids = _lookup(path, uniq.to_pylist())
         return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    if family(path) == "word":
+        # not where a special string, matched on raw text, may arise, nor before NFC has composed letters
+        plain = pc.and_not(pc.string_is_ascii(uniq), pc.match_substring(uniq, "<|"))
+        uniq = pc.if_else(plain, pc.ascii_lower(uniq), uniq)
     stem = pc.utf8_rtrim(uniq, _TAIL)
     ok = pc.match_substring_regex(stem, r"[\pL0-9]$")
     stem = pc.if_else(ok, stem, uniq)
@@ -132,7 +137,7 @@ def _chunks(path: str, col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if kind == "word":
         for ch in "\n\t\r":
             col = pc.replace_substring(col, ch, " ")
-        pieces = pc.split_pattern(pc.ascii_lower(col), " ")
+        pieces = pc.split_pattern(col, " ")
         return pieces.values, pieces.offsets.to_numpy()
     # white space beside white space or beside rare characters: the strict rule
     odd = pc.match_substring_regex(col, r"\s\s|\s$|^\s|[\x00\x1c-\x1f\v\f]|[^\x00-\x7f\pL\pP]\s|\s[\pM\pZ\pC]").to_numpy(zero_copy_only=False)

@@ -89,6 +89,26 @@ def test_chunks_keep_the_ids():
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
 
 
+def test_capitals_keep_the_ids():
+    """Special strings in other cases are plain text; capitals are composed before they are lower-cased."""
+    import random
+
+    import pyarrow as pa
+    from specflow.llm import tokens
+
+    r = random.Random(5)
+    parts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "ENDOFTEXT", "Word", "T\u0308", "W\u030a", "I\u0307",
+             "J\u030c", "\u00c9", "A\u0301", "K", " ", "  ", "\n", "!", ".", "'S", "7"]
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        want = [e.ids for e in tokens.tokenizer(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+        col = pa.array(texts, pa.large_string())
+        ids, off = tokens.encode(P.path(name), col)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+        assert tokens.count_tokens(P.path(name), col).tolist() == [len(w) for w in want]
+    assert len(want[0]) > 1
+
+
 def test_rans_archive(spark, docs, no_docs, tmp_path):
     from specflow.llm.op5_rans_archive import read_archive, token_archive, write_archive
 
