@@ -90,9 +90,16 @@ def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, winning rule and verdict."""
+    from .op11_url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_jaccard_join, op4_warc, op5_rans_archive, op6_line_dedup, op7_mcd_quality, op8_decontamination, op9_packing,
-                                op10_repeated_text)}
+                                op10_repeated_text, op11_url_filter)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -118,4 +125,14 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_url_filter": f"""
+        WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        r(action, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                                     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        u AS (SELECT DISTINCT host, path FROM h),
+        b AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+              FROM u, r WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LEFT JOIN b USING (host, path)""",
 }
