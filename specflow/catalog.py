@@ -1004,6 +1004,17 @@ def q_svr(spark, sf):
     return _results_cols(r["results"])
 
 
+@register("svr_poly_train_report")
+def q_svr_poly(spark, sf):
+    """Polynomial-kernel SVR (C = 1, degree 2) over the eps grid logspace(-4, 1, 30),
+    global-minimum RMSECV, refit, test fold 5."""
+    from specflow.operators.folds import grouped_folds
+    from specflow.plans.train import train_report
+    tg = tb.targets(spark, sf)
+    r = train_report(tb.spectra_vec(spark, sf), tg, grouped_folds(tg, 5), ["SVR-py"], test_fold=5)
+    return _results_cols(r["results"])
+
+
 @register("preprocess_recipes")
 def q_recipes(spark, sf):
     """IO5 + IO6: three recipes over the spectra (resample 25 nm + baseline + norm5_SC,
