@@ -31,6 +31,7 @@ CACHE_CHUNKS, CACHE_CHARS = 450_000, 48
 #: ASCII marks that end a chunk and, after a letter or digit, always start a new
 #: pre-token. Apostrophes (contractions) and <|> (special strings) are left out.
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_LETTER = r"[\pL0-9]$"
 _STRICT = re.compile(r"(?<=[A-Za-z0-9.,])(?= [A-Za-z0-9])")
 
 
@@ -94,6 +95,25 @@ def _gather(flat: np.ndarray, lens: np.ndarray, codes: np.ndarray) -> tuple[np.n
     return flat[np.arange(dst[-1]) + np.repeat(src - dst[:-1], n)], dst
 
 
+@functools.lru_cache(maxsize=4)
+def _kept(path: str) -> dict[str, bool]:
+    """By last character of a chunk; at most one entry for each code point."""
+    return {}
+
+
+def _ends_in_letter(path: str, stem: pa.Array) -> pa.Array:
+    """Whether the file's normalizer leaves a letter or digit at a chunk's end: it may put a combining
+    mark there instead (a capital with a dot, letters that NFC takes apart), which joins marks behind it."""
+    last, kept = pc.utf8_slice_codeunits(stem, start=-1).dictionary_encode(), _kept(path)
+    chars = last.dictionary.to_pylist()
+    new = [c for c in chars if c not in kept]
+    if new:
+        normal = tokenizer(path).normalizer
+        ends = pa.array([normal.normalize_str(c) for c in new], pa.string())
+        kept.update(zip(new, pc.match_substring_regex(ends, _LETTER).to_pylist()))
+    return pa.array([kept[c] for c in chars], pa.bool_()).take(last.indices)
+
+
 def _unique_ids(path: str, uniq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all different chunks one after another, their lengths).  A chunk
     is looked up as its stem and the marks behind it."""
@@ -105,7 +125,9 @@ def _unique_ids(path: str, uniq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.and_not(pc.string_is_ascii(uniq), pc.match_substring(uniq, "<|"))
         uniq = pc.if_else(plain, pc.ascii_lower(uniq), uniq)
     stem = pc.utf8_rtrim(uniq, _TAIL)
-    ok = pc.match_substring_regex(stem, r"[\pL0-9]$")
+    ok = pc.match_substring_regex(stem, _LETTER)
+    if family(path) == "word":
+        ok = pc.and_(ok, _ends_in_letter(path, stem))
     stem = pc.if_else(ok, stem, uniq)
     start = pc.binary_length(stem).to_numpy(zero_copy_only=False)
     tails = pc.dictionary_encode(pc.if_else(ok, _suffix(uniq, start), pa.scalar("", pa.large_string())))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -74,6 +75,23 @@ def test_token_counts(docs, no_docs):
     assert token_counts(no_docs, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_every_code_point_beside_marks():
+    """Each code point before and after ASCII marks, alone and behind a letter, keeps the library's ids."""
+    import pyarrow as pa
+
+    from specflow.llm import tokens
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    groups = [f"{c}! !{c} a{c}.) " for c in points]
+    texts = ["".join(groups[i:i + 50]) for i in range(0, len(groups), 50)] + ["DİKKATLİ, İyi. Gİ!", "क़! ড়. ਖ਼! ଡ଼!"]
+    texts += [f"x{c}{m}y {m}{c}{m}" for c in "İक़éßΣ" for m in tokens._TAIL]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        want = [e.ids for e in tokens.tokenizer(P.path(name)).encode_batch(texts, add_special_tokens=False)]
+        ids, off = tokens.encode(P.path(name), pa.array(texts, pa.large_string()))
+        wrong = [t for t, lo, hi, w in zip(texts, off[:-1], off[1:], want) if ids[lo:hi].tolist() != w]
+        assert not wrong, (name, len(wrong), wrong[0])
+
+
 def test_chunks_keep_the_ids():
     import random
 
