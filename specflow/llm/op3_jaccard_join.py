@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import byte_slices, id_text, large, materialize
 from .graph import components
@@ -29,6 +30,8 @@ NUM, DEN, SIZE = 75, 100, 5
 COUNTERS, SEGMENT, BITS = 1 << 20, 1 << 16, 1024
 #: Sets below this size have a word for each shingle.
 SMALL = 64
+#: Partners that one task compares with a set, and ends of pairs up to which the list of them is broadcast (24 bytes each).
+STAR, WIDE = 512, 500_000
 _SLICE = 4 << 20
 
 
@@ -172,14 +175,68 @@ def _members(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return materialize(rows.mapInArrow(shared, "sig long, sid long, lead long"), "jaccard-members")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) for the pairs (a, b) of set ids."""
-    a = sets.select(F.col("sid").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("sid").alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(a, "a").join(b, "b")
-    same = F.size(F.array_intersect("ia", "ib"))
-    linked = DEN * same >= NUM * (F.size("ia") + F.size("ib") - same)
-    return materialize(both.select("a", "b", linked.alias("linked")), "jaccard-verified")
+def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, close): whether sizes and dense sketches of a pair leave a link possible."""
+    side = lambda k: facts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("data").alias(f"d_{k}"))
+
+    def close(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            n, m = (t.column(f"n_{k}").to_numpy() for k in "ab")
+            x, y = (np.frombuffer(b"".join(t.column(f"d_{k}").to_pylist()), np.uint64).reshape(t.num_rows, -1) for k in "ab")
+            ham = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (ham <= (DEN - NUM) * (n + m) // (DEN + NUM))
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ok)], names=["a", "b", "close"])
+
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long, close boolean"), "jaccard-close")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, linked) for the pairs (a, b) of set ids.
+
+    Each b travels once, to its a: a task holds one a's shingles and streams its partners past
+    them.  An a of many partners is sent to several tasks, ``STAR`` partners each."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    ends = pairs.join(many, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("k")).unionByName(
+        many.select(F.col("a").alias("sid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("k")))
+    to = ends.groupBy("sid").agg(F.collect_list(F.struct("a", "part", "k")).alias("to"))
+    to = materialize(facts.select("sid", F.col("rep").alias("doc_id")).join(to, "sid"), "jaccard-ends")
+    if to.select(F.coalesce(F.sum(F.size("to")), F.lit(0))).first()[0] <= WIDE:
+        to = F.broadcast(to)
+    meet = "a long, part int, k int, sid long, items array<long>"
+
+    def send(batches):
+        for b, sets in _sets(batches):
+            # a repeated doc_id may bring another text: only the set itself counts
+            out = [(t, i, s.view(np.int64)) for i, to, s in zip(b.column("sid").to_pylist(), b.column("to").to_pylist(), sets)
+                   if len(s) and _set_id(s) == i for t in to]
+            if out:
+                off = np.r_[0, np.cumsum([len(s) for *_, s in out])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t["a"] for t, *_ in out], pa.int64()), pa.array([t["part"] for t, *_ in out], pa.int32()), pa.array([t["k"] for t, *_ in out], pa.int32()),
+                     pa.array([i for _, i, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for *_, s in out])))],
+                    names=["a", "part", "k", "sid", "items"])
+
+    def compare(batches):
+        at = held = last = None
+        for t in batches:
+            off, items = t.column("items").offsets.to_numpy(), t.column("items").values.to_numpy()
+            out = []
+            for i, (a, part, k, sid) in enumerate(zip(*(t.column(c).to_pylist() for c in ("a", "part", "k", "sid")))):
+                mine = items[off[i]:off[i + 1]].view(np.uint64)
+                if k == 0:
+                    at, held, last = (a, part), mine.copy(), None
+                elif at == (a, part) and sid != last:
+                    spot = np.searchsorted(held, mine)
+                    same = int((held[np.minimum(spot, len(held) - 1)] == mine).sum())
+                    out.append((a, sid, DEN * same >= NUM * (len(held) + len(mine) - same)))
+                    last = sid
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kinds[j]) for j in range(3)], names=["a", "b", "linked"])
+
+    rows = docs.join(to, "doc_id").select("sid", "to", "text").mapInArrow(send, meet)
+    return materialize(rows.repartition("a", "part").sortWithinPartitions("a", "part", "k", "sid").mapInArrow(compare, "a long, b long, linked boolean"), "jaccard-verified")
 
 
 def _merge(label: DataFrame | None, verified: DataFrame) -> DataFrame:
@@ -253,79 +310,74 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nearest_rounds: int = 1) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
-
-    A document's set is that of its five-word shingles (a shorter text: its whole
-    word sequence).  Two documents link when 100 * intersection >= 75 * union;
-    component_id is the smallest doc_id reachable by links, itself included.
-
-    A null or empty text, or one without words, has an empty set and links with nothing.  A
-    row with a null doc_id makes no links; it gets the component of its equal sets, else
-    null.  Repeated rows have equal sets.  An empty table gives an empty result; other columns
-    are ignored.  Set ids are 64-bit hashes of the sets.
-    """
-    docs = id_text(docs, id_col, text_col)
+def _joined(docs: DataFrame, nearest_rounds: int) -> DataFrame:
+    """(doc_id, sid, n, component_id) of every row of (doc_id, text)."""
     profile = _profile(docs)
     rows = profile.filter("kind = 0")
     facts = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
     facts = materialize(facts, "jaccard-classes")
     members = _members(docs, _classes(profile))
-    # the shingle sets that may be compared: one document for each set with a shared word
-    need = facts.join(members.select("sid").distinct(), "sid").select(F.col("rep").alias("doc_id"), "sid")
-    need = materialize(need, "jaccard-need")
-    if need.limit(1_000_001).count() <= 1_000_000:  # 16 MB of ids; more go through a shuffle
-        need = F.broadcast(need)
-
-    def items(batches):
-        for b, sets in _sets(batches):
-            # a repeated doc_id may bring another text: only the set itself counts
-            keep = [(i, s.view(np.int64)) for i, s in zip(b.column("sid").to_pylist(), sets) if len(s) and _set_id(s) == i]
-            if keep:
-                off = np.r_[0, np.cumsum([len(s) for _, s in keep])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in keep], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for _, s in keep])))],
-                    names=["sid", "items"])
-
-    sets = materialize(docs.join(need, "doc_id").select("sid", "text").mapInArrow(items, "sid long, items array<long>")
-                       .dropDuplicates(["sid"]), "jaccard-sets")
     first = members.filter("lead <> sid").groupBy("sid").agg(F.min("lead").alias("lead"))
-    tested = _verify(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), sets)
+    close = _allowed(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), facts)
+    tested = _verify(close.filter("close").select("a", "b"), docs, facts)
     label = _merge(None, tested)
     # first each set's closest candidates, which merge most components; then all that are left
     for nearest in [True] * nearest_rounds + [False]:
         more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, nearest), "jaccard-pairs")
         if more.isEmpty():
             break
-        new = _verify(more.select("a", "b"), sets)
+        new = _verify(more.select("a", "b"), docs, facts)
         label = _merge(label, new)
         tested = tested.union(new)
     reps = facts.select("sid", "rep").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(reps.join(least, "comp").select("sid", "component_id"), "jaccard-components")
     return rows.join(ids, "sid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "sid", "n", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nearest_rounds: int = 1) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    A document's set is that of its five-word shingles (a shorter text: its whole
+    word sequence).  Two documents link when 100 * intersection >= 75 * union;
+    component_id is the smallest doc_id reachable by links, itself included.
+
+    A null or empty text, or one without words, has an empty set and links with nothing.  A
+    row with a null doc_id makes no links; it gets the component of its equal sets, else
+    null.  Repeated rows have equal sets.  An empty table gives an empty result; other columns
+    are ignored.  Set ids are 64-bit hashes of the sets.
+    """
+    got = _joined(id_text(docs, id_col, text_col), nearest_rounds)
+    return got.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest doc_id of each component only, all columns kept.
 
-    Rows without words or without an id make no links and stay; of rows with the
-    same id and the same set of shingles one stays."""
-    got = jaccard_join(docs, id_col, text_col)
-    lost = materialize(got.filter(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct(), "jaccard-lost")
-    twice = materialize(got.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-twice")
+    Rows without words or without an id make no links and stay.  Rows that share an id are
+    told apart by their sets: each goes or stays with its own set's component, and of rows with the
+    same id and the same set one stays."""
+    got = _joined(id_text(docs, id_col, text_col), 1).filter("doc_id is not null")
+    got = materialize(got.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("m"), F.min("component_id").alias("component_id")), "jaccard-rows")
+    shared = got.groupBy("doc_id").agg(F.sum("m").alias("m")).filter("m > 1").select(F.col("doc_id").alias("_shared"))
+    lost = got.filter("sid is not null and component_id < doc_id").select(F.col("doc_id").alias("_lost"), F.col("sid").alias("_lost_sid"))
     key = F.col(id_col).cast("long")
-    left = docs.join(lost.select(F.col("doc_id").alias("_lost")), key == F.col("_lost"), "left_anti")
-    if twice.isEmpty():
-        return left
-    # rows that share an id: one for each different text
-    own = "_of"
-    while own in docs.columns:
-        own += "_"
-    rank = Window.partitionBy(id_col, text_col).orderBy(F.lit(1))
-    shared = left.join(twice.select(F.col("doc_id").alias("_twice")), key == F.col("_twice"), "left_semi")
-    alone = left.join(twice.select(F.col("doc_id").alias("_twice")), key == F.col("_twice"), "left_anti")
-    return alone.unionByName(shared.withColumn(own, F.row_number().over(rank)).filter(F.col(own) == 1).drop(own))
+    if shared.isEmpty():
+        return docs.join(lost, key == F.col("_lost"), "left_anti")
+    own, rank = "_sid", "_rank"
+    while own in docs.columns or rank in docs.columns:
+        own, rank = own + "_", rank + "_"
+    alone = docs.join(shared, key == F.col("_shared"), "left_anti").join(lost, key == F.col("_lost"), "left_anti")
+
+    def ids(batches):
+        for b in batches:
+            text = b.column(text_col).cast(pa.string()).fill_null("")
+            sets = [s for _, part in _sets([pa.RecordBatch.from_arrays([text], names=["text"])]) for s in part]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, own])
+
+    together = docs.join(shared, key == F.col("_shared"), "left_semi").mapInArrow(ids, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    together = together.join(lost, (key == F.col("_lost")) & (F.col(own) == F.col("_lost_sid")), "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.lit(1)))
+    return alone.unionByName(together.withColumn(rank, F.when(F.col(own).isNull(), 1).otherwise(first)).filter(F.col(rank) == 1).drop(own, rank))

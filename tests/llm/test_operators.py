@@ -240,7 +240,20 @@ def test_jaccard_join(spark, docs, no_docs):
     assert 4 in ids and not {5, 6, 7, 9} & set(ids) and ids[13] == 1 and ids[1] == ids[2] == 1
 
 
-def test_jaccard_group_of_near_copies(spark):
+def test_rows_that_share_an_id(spark):
+    """A unique text stays though another row of its id goes; equal rows count once."""
+    from specflow.llm.op3_jaccard_join import one_of_each
+
+    a, b = prose(21, 50), prose(22, 50)
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b + " ", 4), (3, None, 5), (3, None, 6), (3, b, 7), (None, a, 8)]
+    for sid in ("_sid", "other"):
+        left = one_of_each(spark.createDataFrame(rows, f"doc_id long, text string, {sid} int"))
+        got = sorted(((r["doc_id"], r["text"] and r["text"].strip()) for r in left.filter("doc_id is not null").collect()), key=repr)
+        assert left.columns == ["doc_id", "text", sid] and left.count() == 5
+        assert got == sorted([(1, a), (2, b), (3, None), (3, None)], key=repr)
+
+
+def test_jaccard_group_of_near_copies(spark, monkeypatch):
     """A few hundred near copies around the threshold, a shared passage, chains."""
     import random
 
@@ -257,6 +270,11 @@ def test_jaccard_group_of_near_copies(spark):
     rows += [(1000 + i, prose(300 + i, 60) + " " + prose(12, 80) + " " + prose(500 + i, 60)) for i in range(60)]
     got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), nearest_rounds=1)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows), key=repr)
+    import specflow.llm.op3_jaccard_join as op
+
+    monkeypatch.setattr(op, "STAR", 7)
+    monkeypatch.setattr(op, "WIDE", 0)
+    assert sorted(got.collect()) == sorted(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
 
 
 # ------------------------------------------------------------------ 4
