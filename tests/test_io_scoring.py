@@ -202,8 +202,8 @@ def test_outliers_to_the_end(spark, monkeypatch, kind):
         active.remove(pick)
     got = [(r["outlier"], r["avg_train_RMSE"]) for r in log]
     sure = [i for i, (_, v) in enumerate(want) if v > 1e-6]  # exact fits of the last few rows are rounding only
-    assert [got[i][0] for i in sure] == [want[i][0] for i in sure]
-    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-6) for i in sure) and len(sure) >= 4
+    assert [got[i][0] for i in sure] == [want[i][0] for i in sure], (got, want)
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-6) for i in sure) and len(sure) >= 4, (got, want)
 
 
 def test_iteration_deltas(spark):
