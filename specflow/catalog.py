@@ -680,9 +680,9 @@ SELECT f.variable, f.fold, a.i, b.i AS j, round(sum(a.x * b.x), 6) AS v
 FROM f JOIN s a ON a.pkey = f.pkey JOIN s b ON b.pkey = f.pkey AND a.i <= b.i
 GROUP BY f.variable, f.fold, a.i, b.i""")
 def q_gram(spark, sf):
-    """M0: per-fold Gram X'X of the 64-channel spectra from per-partition partial sums."""
+    """M0: per-fold Gram X'X of the 64-channel spectra, by blocks of 24 channels (three by three, the last one short)."""
     from specflow.operators.moments import gram_long
-    g = gram_long(_emb_rows(spark, sf), ["variable"], "fold")
+    g = gram_long(_emb_rows(spark, sf), ["variable"], "fold", 24)
     return g.select("variable", "fold", "i", "j", _r("v").alias("v"))
 
 
