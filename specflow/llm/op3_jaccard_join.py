@@ -32,7 +32,7 @@ COUNTERS, SEGMENT, BITS = 1 << 20, 1 << 16, 1024
 SMALL = 64
 #: Partners that one task compares with a set, and ends of pairs up to which the list of them is broadcast (24 bytes each).
 STAR, WIDE = 512, 500_000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 def most_difference(a: int, b: int) -> int:
@@ -267,43 +267,55 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
     m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     m = m.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "data")
 
-    def pairs(rows):
-        own, sid, comp, n = (np.array([r[k] for r in rows], np.int64) for k in ("own", "sid", "comp", "n"))
-        bits = np.frombuffer(b"".join(r["data"] for r in rows), np.uint64).reshape(len(rows), -1)
-        i, j = rows[0]["i"], rows[0]["j"]
-        right = np.flatnonzero(own == j)
-        found = []
-        for x in np.flatnonzero(own == i):
-            y = right[right > x] if i == j else right
-            lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            y = y[(comp[y] != comp[x]) & (DEN * lo >= NUM * hi)]
-            if len(y):
-                ham = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1).astype(np.int64)
-                ok = ham <= (DEN - NUM) * (n[y] + n[x]) // (DEN + NUM)
-                found += [(int(min(sid[x], sid[z])), int(max(sid[x], sid[z])), int(d)) for z, d in zip(y[ok], ham[ok])]
-        if nearest and found:
-            best: dict[int, tuple] = {}
-            for a, b, d in found:
-                for k in (a, b):
-                    if k not in best or (d, a, b) < best[k]:
-                        best[k] = (d, a, b)
-            found = [(a, b, d) for d, a, b in set(best.values())]
-        return found
+    def pairs(sig, i, j, own, sid, comp, n, data):
+        """All pairs of a run of whole cells, by the distance of their rows: the rows that still
+        have a partner so far on are compared at once."""
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        first = np.flatnonzero(new)
+        cell = np.cumsum(new)
+        end = np.repeat(np.r_[first[1:], len(sig)], np.diff(np.r_[first, len(sig)]))
+        x, out, d = np.arange(len(sig)), [], 0
+        while True:
+            d += 1
+            x = x[x + d < end[x]]
+            if not len(x):
+                break
+            y = x + d
+            ok = (comp[x] != comp[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & ((i[x] == j[x]) | (own[x] != own[y]))
+            p, q = x[ok], y[ok]
+            for lo in range(0, len(p), 1 << 16):
+                u, v = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
+                ham = np.bitwise_count(data[u] ^ data[v]).sum(axis=1).astype(np.int64)
+                near = ham <= (DEN - NUM) * (n[u] + n[v]) // (DEN + NUM)
+                out.append((cell[u[near]], np.minimum(sid[u[near]], sid[v[near]]), np.maximum(sid[u[near]], sid[v[near]]), ham[near]))
+        if not out:
+            return None
+        cell, a, b, ham = (np.concatenate(c) for c in zip(*out))
+        if nearest and len(a):
+            ends, at = np.r_[a, b], np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((b[at], a[at], ham[at], ends, cell[at]))
+            best = np.r_[True, (ends[order][1:] != ends[order][:-1]) | (cell[at][order][1:] != cell[at][order][:-1])]
+            keep = np.unique(at[order][best])
+            a, b, ham = a[keep], b[keep], ham[keep]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, ham)], names=["a", "b", "ham"]) if len(a) else None
 
     def run(batches):
-        at, rows = None, []
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                key = (r["sig"], r["i"], r["j"])
-                if key != at:
-                    out += pairs(rows) if len(rows) > 1 else []
-                    at, rows = key, []
-                rows.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "ham"])
-        if len(rows) > 1 and (out := pairs(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "ham"])
+        """Whole cells of each batch; the last cell waits for the next one."""
+        held = None
+        for t in batches:
+            if not t.num_rows:
+                continue
+            rows = [t.column(c).to_numpy() for c in ("sig", "i", "j", "own", "sid", "comp", "n")]
+            rows.append(np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint64).reshape(t.num_rows, -1))
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
+            cut = len(last) - int(last.sum())
+            held = [r[cut:].copy() for r in rows]
+            if cut and (out := pairs(*(r[:cut] for r in rows))) is not None:
+                yield out
+        if held is not None and (out := pairs(*held)) is not None:
+            yield out
 
     found = (m.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "sid")
              .mapInArrow(run, "a long, b long, ham long").distinct())
