@@ -26,7 +26,7 @@ from .shingles import mix, shingle_hashes, word_hashes
 
 #: Similarity 75/100, and shingles of five words.
 NUM, DEN, SIZE = 75, 100, 5
-#: Counters of the frequency sketch (for the order of words only), and bits of the dense sketch.
+#: Counters of the frequency sketch (for the order of words only), and most bits of a dense sketch.
 COUNTERS, SEGMENT, BITS = 1 << 20, 1 << 16, 1024
 #: Sets below this size have a word for each shingle.
 SMALL = 64
@@ -51,7 +51,46 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _dense(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    """Parities of the shingles by their low bits; small sets take fewer of them."""
+    bits = BITS // 4 if len(s) < 128 else BITS // 2 if len(s) < 512 else BITS
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class _Sketches:
+    """Dense sketches of many sets, each also folded to the smaller sizes: halves XORed, which
+    leaves parities and so the bound."""
+
+    def __init__(self, data: list[bytes]):
+        self.words = np.fromiter(map(len, data), np.int64, len(data)) // 8
+        full = BITS // 64
+        at = np.zeros((len(data), full), np.uint64)
+        for w in (full // 4, full // 2, full):
+            rows = np.flatnonzero(self.words == w)
+            if len(rows):
+                at[rows, :w] = np.frombuffer(b"".join(data[i] for i in rows), np.uint64).reshape(len(rows), w)
+        self.folded = {full: at}
+        for w in (full // 2, full // 4):
+            big = self.folded[2 * w]
+            self.folded[w] = np.where((self.words > w)[:, None], big[:, :w] ^ big[:, w:], big[:, :w])
+
+    def __getitem__(self, rows) -> "_Sketches":
+        got = object.__new__(_Sketches)
+        got.words, got.folded = self.words[rows], {w: f[rows] for w, f in self.folded.items()}
+        return got
+
+    def join(self, other: "_Sketches") -> "_Sketches":
+        got = object.__new__(_Sketches)
+        got.words, got.folded = np.r_[self.words, other.words], {w: np.concatenate([f, other.folded[w]]) for w, f in self.folded.items()}
+        return got
+
+    def distance(self, u: np.ndarray, other: "_Sketches", v: np.ndarray) -> np.ndarray:
+        """Hamming distances at the smaller size of each pair: lower bounds of the sets' difference."""
+        size, out = np.minimum(self.words[u], other.words[v]), np.zeros(len(u), np.int64)
+        for w, f in self.folded.items():
+            at = np.flatnonzero(size == w)
+            if len(at):
+                out[at] = np.bitwise_count(f[u[at]] ^ other.folded[w][v[at]]).sum(axis=1)
+        return out
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -184,8 +223,9 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
             if not t.num_rows:
                 continue
             n, m = (t.column(f"n_{k}").to_numpy() for k in "ab")
-            x, y = (np.frombuffer(b"".join(t.column(f"d_{k}").to_pylist()), np.uint64).reshape(t.num_rows, -1) for k in "ab")
-            ham = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            x, y = (_Sketches(t.column(f"d_{k}").to_pylist()) for k in "ab")
+            each = np.arange(t.num_rows)
+            ham = x.distance(each, y, each)
             ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (ham <= (DEN - NUM) * (n + m) // (DEN + NUM))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ok)], names=["a", "b", "close"])
 
@@ -285,7 +325,7 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
             p, q = x[ok], y[ok]
             for lo in range(0, len(p), 1 << 16):
                 u, v = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
-                ham = np.bitwise_count(data[u] ^ data[v]).sum(axis=1).astype(np.int64)
+                ham = data.distance(u, data, v)
                 near = ham <= (DEN - NUM) * (n[u] + n[v]) // (DEN + NUM)
                 out.append((cell[u[near]], np.minimum(sid[u[near]], sid[v[near]]), np.maximum(sid[u[near]], sid[v[near]]), ham[near]))
         if not out:
@@ -306,12 +346,12 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
             if not t.num_rows:
                 continue
             rows = [t.column(c).to_numpy() for c in ("sig", "i", "j", "own", "sid", "comp", "n")]
-            rows.append(np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint64).reshape(t.num_rows, -1))
+            rows.append(_Sketches(t.column("data").to_pylist()))
             if held is not None:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+                rows = [np.concatenate([h, r]) for h, r in zip(held[:-1], rows[:-1])] + [held[-1].join(rows[-1])]
             last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
             cut = len(last) - int(last.sum())
-            held = [r[cut:].copy() for r in rows]
+            held = [r[cut:] for r in rows]
             if cut and (out := pairs(*(r[:cut] for r in rows))) is not None:
                 yield out
         if held is not None and (out := pairs(*held)) is not None:
