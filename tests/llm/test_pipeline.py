@@ -39,5 +39,5 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
     assert set(e.oracle_sql()) <= set(names)
