@@ -155,6 +155,7 @@ def test_outliers_to_the_end(spark, monkeypatch, kind):
     import specflow.plans.outliers as op
 
     monkeypatch.setattr(op, "BLOCK", 3)
+    monkeypatch.setattr(op, "INNER", 4)
     monkeypatch.setattr(op, "REWRITE", 2)
     rng = np.random.default_rng(11)
     n, p = (33, 2) if kind == "per_sample" else (9, 2)
