@@ -27,9 +27,10 @@ EMBEDDINGS_SCHEMA = T.StructType([
 
 def spectra_stream(spark: SparkSession, folder: str, file_glob: str = "embeddings.parquet",
                    files_per_trigger: int = 1) -> DataFrame:
-    """Spectra files in ``folder`` as a stream of ``(pkey, x)`` rows."""
-    raw = (spark.readStream.schema(EMBEDDINGS_SCHEMA).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """Spectra in ``folder`` as a stream of ``(pkey, x)`` rows: files that match, and files of folders that do."""
+    # as a pattern even where it is a plain name: a path without one has to be a folder
+    raw = (spark.readStream.schema(EMBEDDINGS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+           .parquet(f"{folder.rstrip('/')}/{{{file_glob}}}"))
     return raw.select(F.col("vec_id").cast("string").alias("pkey"),
                       F.transform("embedding", lambda v: v.cast("double") + F.lit(1.0)).alias("x"))
 

@@ -246,3 +246,17 @@ def test_broadcast_guard(spark, monkeypatch):
     with pytest.raises(ValueError):
         scoring.predict_linear(spectra, models)
     assert scoring.predict_linear(spectra, models, ["variable"]).first()["pred"] == 50.0   # shuffled join
+
+
+def test_stream_reads_a_table_of_several_files(spark, tmp_path):
+    """A table may be a folder of part files; all of them are streamed, other tables are not."""
+    from specflow.streaming.score import EMBEDDINGS_SCHEMA, run_available, spectra_stream
+    rows = [(i, [float(i), 1.0], i % 2) for i in range(20)]
+    spark.createDataFrame(rows, EMBEDDINGS_SCHEMA).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(99, [0.0, 0.0], 0)], EMBEDDINGS_SCHEMA).write.parquet(f"{tmp_path}/others.parquet")
+    got = spark.read.parquet(run_available(spectra_stream(spark, str(tmp_path)), "folder")).collect()
+    assert {r["pkey"]: list(r["x"]) for r in got} == {str(i): [i + 1.0, 2.0] for i, _, _ in rows}
+    one = tmp_path / "single"
+    one.mkdir()
+    (next((tmp_path / "embeddings.parquet").glob("part-*.parquet"))).rename(one / "embeddings.parquet")
+    assert spark.read.parquet(run_available(spectra_stream(spark, f"{one}/"), "file")).count() > 0
