@@ -83,8 +83,8 @@ def pls2_report(spectra_vec: DataFrame, targets: DataFrame, folds: DataFrame, va
     data = wide.select("pkey", *[F.col(f"`{v}`").cast("double").alias(c) for v, c in zip(variables, ycols)]) \
         .join(folds.select("pkey", "fold"), "pkey").join(spectra_vec, "pkey") \
         .withColumn(KEY, F.lit(0)).persist()
-    from specflow.functions.frames import right_size
-    data = right_size(data, data.count(), 8 * (data.select(F.max(F.size("x"))).first()[0] or 1) + 64)
+    from specflow.functions.frames import TARGET_PARTITION_ROWS, right_size
+    data = right_size(data, data.count(), 8 * (data.select(F.max(F.size("x"))).first()[0] or 1) + 64, target_rows=TARGET_PARTITION_ROWS)
     n_folds_rows = data.where(F.col("fold") != -1)
     sizes = n_folds_rows.groupBy("fold").count()
     tot_n = n_folds_rows.count()
