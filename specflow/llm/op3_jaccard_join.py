@@ -28,6 +28,8 @@ from .shingles import mix, shingle_hashes, word_hashes
 NUM, DEN, SIZE = 75, 100, 5
 #: Counters of the frequency sketch (for the order of words only), and most bits of a dense sketch.
 COUNTERS, SEGMENT, BITS = 1 << 20, 1 << 16, 1024
+#: Sets above ``BITS`` shingles also have a wide sketch of about a bit for each, up to so many.
+WIDEST = 1 << 20
 #: Sets below this size have a word for each shingle.
 SMALL = 64
 #: Partners that one task compares with a set, and ends of pairs up to which the list of them is broadcast (24 bytes each).
@@ -56,6 +58,22 @@ def _dense(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def _wide(s: np.ndarray) -> bytes | None:
+    """Parities as those of ``_dense``, with at least a bit for each shingle of a set that fills a dense sketch."""
+    if len(s) <= BITS:
+        return None
+    bits = min(WIDEST, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _wide_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance at the smaller size: a lower bound of the sets' difference."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class _Sketches:
     """Dense sketches of many sets, each also folded to the smaller sizes: halves XORed, which
     leaves parities and so the bound."""
@@ -103,15 +121,16 @@ def _profile(docs: DataFrame) -> DataFrame:
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(n), pa.int32()), b.column("doc_id"), pa.array(n, pa.int64()),
-                 pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([_dense(s) for s in sets], pa.binary())],
-                names=["kind", "doc_id", "n", "sid", "data"])
+                 pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([_dense(s) for s in sets], pa.binary()),
+                 pa.array([_wide(s) for s in sets], pa.binary())],
+                names=["kind", "doc_id", "n", "sid", "data", "wide"])
         k = COUNTERS // SEGMENT
         data = [zlib.compress(counts[i * SEGMENT:(i + 1) * SEGMENT].tobytes(), 1) for i in range(k)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int64()), pa.nulls(k, pa.int64()),
-             pa.array(data, pa.binary())], names=["kind", "doc_id", "n", "sid", "data"])
+             pa.array(data, pa.binary()), pa.nulls(k, pa.binary())], names=["kind", "doc_id", "n", "sid", "data", "wide"])
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id long, n long, sid long, data binary"), "jaccard-profile")
+    return materialize(docs.mapInArrow(run, "kind int, doc_id long, n long, sid long, data binary, wide binary"), "jaccard-profile")
 
 
 def _classes(profile: DataFrame) -> np.ndarray:
@@ -215,8 +234,9 @@ def _members(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
 
 def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b, close): whether sizes and dense sketches of a pair leave a link possible."""
-    side = lambda k: facts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("data").alias(f"d_{k}"))
+    """(a, b, close) of the pairs whose sizes and dense sketches leave a link possible: whether their
+    wide sketches do so too, which large sets need as their dense ones are full."""
+    side = lambda k: facts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("data").alias(f"d_{k}"), F.col("wide").alias(f"w_{k}"))
 
     def close(batches):
         for t in batches:
@@ -224,14 +244,22 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
                 continue
             n, m = (t.column(f"n_{k}").to_numpy() for k in "ab")
             x, y = (_Sketches(t.column(f"d_{k}").to_pylist()) for k in "ab")
-            each = np.arange(t.num_rows)
-            ham = x.distance(each, y, each)
-            ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (ham <= (DEN - NUM) * (n + m) // (DEN + NUM))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ok)], names=["a", "b", "close"])
+            each, most = np.arange(t.num_rows), (DEN - NUM) * (n + m) // (DEN + NUM)
+            ok = np.flatnonzero((DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (x.distance(each, y, each) <= most))
+            t = t.take(pa.array(ok))
+            v, w = (t.column(f"w_{k}").to_pylist() for k in "ab")
+            near = [p is None or q is None or _wide_distance(p, q) <= d for p, q, d in zip(v, w, most[ok].tolist())]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "close"])
 
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long, close boolean"), "jaccard-close")
 
 
+def _tested(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, linked) of the pairs that the dense sketches allow; shingles of those alone move that the wide ones allow too."""
+    close = _allowed(pairs, facts)
+    return _verify(close.filter("close").select("a", "b"), docs, facts).unionByName(close.filter("not close").withColumnRenamed("close", "linked"))
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b, linked) for the pairs (a, b) of set ids.
 
@@ -367,21 +395,23 @@ def _joined(docs: DataFrame, nearest_rounds: int) -> DataFrame:
     profile = _profile(docs)
     rows = profile.filter("kind = 0")
     facts = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"), F.first("wide").alias("wide"))
     facts = materialize(facts, "jaccard-classes")
     members = _members(docs, _classes(profile))
     first = members.filter("lead <> sid").groupBy("sid").agg(F.min("lead").alias("lead"))
-    close = _allowed(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), facts)
-    tested = _verify(close.filter("close").select("a", "b"), docs, facts)
+    tested = _tested(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), docs, facts)
     label = _merge(None, tested)
     # first each set's closest candidates, which merge most components; then all that are left
     for nearest in [True] * nearest_rounds + [False]:
         more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, nearest), "jaccard-pairs")
         if more.isEmpty():
             break
-        new = _verify(more.select("a", "b"), docs, facts)
+        new = _tested(more.select("a", "b"), docs, facts)
         label = _merge(label, new)
         tested = tested.union(new)
+        if nearest:  # a set without a closest candidate has none at all, and components only grow
+            ends = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
+            members = members.join(ends, "sid", "left_semi").select("sig", "sid")
     reps = facts.select("sid", "rep").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     ids = materialize(reps.join(least, "comp").select("sid", "component_id"), "jaccard-components")

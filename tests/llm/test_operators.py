@@ -277,6 +277,30 @@ def test_jaccard_group_of_near_copies(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
 
 
+def test_shingles_of_large_sets_stay(spark, monkeypatch):
+    """Large texts that share a passage only are told apart by their sketches, so their shingles don't move."""
+    import specflow.llm.op3_jaccard_join as op
+
+    r = np.random.default_rng(5)
+    for n, m, same in [(1100, 1500, 1000), (3000, 3500, 2900), (9000, 8200, 8000)]:  # a lower bound at any sizes
+        x = r.integers(0, 1 << 63, n + m - same, dtype=np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n - same:])
+        assert 0 < op._wide_distance(op._wide(a), op._wide(b)) <= n + m - 2 * same
+    moved, verify = [], op._verify
+
+    def seen(pairs, *rest):
+        moved.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(op, "_verify", seen)
+    passage, near = prose(12, 300), prose(640, 3000)
+    rows = [(i, prose(600 + i, 1400) + " " + passage + " " + prose(620 + i, 1400)) for i in range(12)]
+    rows += [(50, near), (51, near + " once more"), (52, prose(641, 2) + " " + near)]
+    got = op.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows), key=repr)
+    assert 2 <= sum(moved) <= 3
+
+
 # ------------------------------------------------------------------ 4
 def test_warc(spark):
     from specflow.llm.op4_warc import parse_records, read_records, warc_round_trip, write_archive
