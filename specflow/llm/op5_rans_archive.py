@@ -77,16 +77,18 @@ def rans_encode(runs: list[np.ndarray], freq: np.ndarray, lanes: int, every: int
         on = np.zeros(steps[i] * lanes, bool)
         on[:len(r)] = True
         live[:steps[i], i] = on.reshape(-1, lanes)
-    shift, word = np.uint64(63 - scale), np.uint64(32)
+    shift, word, room = np.uint64(63 - scale), np.uint64(32), np.uint64(1 << scale)
+    whole = live.all(axis=(1, 2)) if top else ()
     for t in range(top - 1, -1, -1):
-        on = live[t]
-        f = np.where(on, f64[sym[t]], np.uint64(1))
-        full = on & (x >= (f << shift))
+        on = None if whole[t] else live[t]  # most steps have a symbol in every lane
+        f = f64[sym[t]] if on is None else np.where(on, f64[sym[t]], np.uint64(1))
+        full = x >= (f << shift) if on is None else on & (x >= (f << shift))
         out[t] = x.astype(np.uint32)
         emits[t] = full
-        x = np.where(full, x >> word, x)
+        x = x >> (full * word)
         q = x // f
-        x = np.where(on, (q << np.uint64(scale)) + (x - q * f) + start[sym[t]], x)
+        new = x + q * (room - f) + start[sym[t]]  # (q << scale) + the remainder
+        x = new if on is None else np.where(on, new, x)
         if t % every == 0:
             keep[t // every] = x
     coded = []
@@ -117,24 +119,27 @@ def rans_decode(blocks: list[tuple[np.ndarray, np.ndarray, int]], freq: np.ndarr
     at = np.concatenate([s[:, lanes].astype(np.int64) + o for (s, _, _), o in zip(blocks, base)])
     n = np.concatenate([np.clip(k - np.arange(p) * every * lanes, 0, every * lanes)
                         for (_, _, k), p in zip(blocks, pieces)])
-    top = int(-(-n.max() // lanes))
+    order = np.argsort(-n, kind="stable")  # a step takes the first pieces, those that have ids left
+    x, at, n = x[order], at[order], n[order]
+    top = int(-(-n[0] // lanes))
     out = np.zeros((len(x), top, lanes), np.uint32)
     mask, word = np.uint64((1 << scale) - 1), np.uint64(32)
-    lane = np.arange(lanes)
-    for t in range(top):
-        on = (t * lanes + lane)[None, :] < n[:, None]
-        low = x & mask
-        s = slot[np.where(on, low, np.uint64(0)).astype(np.int64)]
-        out[:, t] = s
-        nx = f64[s] * (x >> np.uint64(scale)) + low - start[s]
-        need = on & (nx < LOW)
-        k = np.cumsum(need, axis=1)
-        got = words[np.minimum(at[:, None] + k - 1, len(words) - 1)]
-        x = np.where(on, np.where(need, (nx << word) | got, nx), x)
-        at += k[:, -1]
+    for t, k in enumerate(np.searchsorted(-n, -lanes * np.arange(top))):
+        y = x[:k]
+        low = y & mask
+        s = slot[low.view(np.int64)]
+        out[:k, t] = s
+        y = f64[s] * (y >> np.uint64(scale)) + low - start[s]
+        need = y < LOW  # also lanes behind a piece's last id, which nothing reads any more
+        last = np.cumsum(need, axis=1)
+        got = words[np.minimum(at[:k, None] + last - 1, len(words) - 1)]
+        x[:k] = np.where(need, (y << word) | got, y)
+        at[:k] += last[:, -1]
+    row = np.empty_like(order)
+    row[order] = np.arange(len(order))
     res, i = [], 0
     for (_, _, k), p in zip(blocks, pieces):
-        res.append(np.concatenate([out[i + j].reshape(-1)[:n[i + j]] for j in range(p)]))
+        res.append(np.concatenate([out[r].reshape(-1)[:n[r]] for r in row[i:i + p]]))
         i += p
     return res
 

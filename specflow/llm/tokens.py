@@ -16,9 +16,11 @@ bounded cache).  Two families of vocabulary files are known:
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ CACHE_CHUNKS, CACHE_CHARS = 450_000, 48
 #: pre-token. Apostrophes (contractions) and <|> (special strings) are left out.
 _TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 _LETTER = r"[\pL0-9]$"
+#: The start of a chunk that may follow others in one text.
+_JOINT = re.compile(r" (?:[!-~]|[^\W_])")
 _STRICT = re.compile(r"(?<=[A-Za-z0-9.,])(?= [A-Za-z0-9])")
 
 
@@ -66,24 +70,75 @@ def _cache(path: str) -> list[dict[str, bytes]]:
     return [{}, {}]
 
 
+@functools.lru_cache(maxsize=4)
+def _byte_lengths(path: str) -> np.ndarray | None:
+    """UTF-8 bytes of each id of a byte-level file; None for others, or where a special string may reach across a boundary."""
+    if family(path) != "byte":
+        return None
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or any(c.isspace() for c in a["content"]) for a in added):
+        return None
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    size = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+    size[list(vocab.values())] = list(map(len, vocab))  # a character of the vocabulary is a byte
+    for a in added:
+        size[a["id"]] = len(a["content"].encode())
+    return size
+
+
+def _side_by_side(path: str, chunks: list[str]) -> list[bytes] | None:
+    """ids of chunks encoded as one text and cut by their ids' bytes; each starts with a space before a printed character and ends
+    in a letter or digit, so the tokenizer cuts between them.  None where the ids' bytes don't meet the chunks' ends."""
+    size, joined = _byte_lengths(path), "".join(chunks)
+    ids = np.array(tokenizer(path).encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+    ends = np.cumsum(np.fromiter(map(len, chunks if joined.isascii() else map(str.encode, chunks)), np.int64, len(chunks)))
+    have = np.cumsum(size[ids])
+    at = np.searchsorted(have, ends)
+    if not len(ids) or have[-1] != ends[-1] or (have[at] != ends).any():
+        return None
+    raw, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+    return [raw[lo:hi] for lo, hi in itertools.pairwise(cuts)]
+
+
+def _apart(path: str, chunks: list[str]) -> list[bytes]:
+    """ids of each chunk as a text of its own."""
+    return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(chunks, add_special_tokens=False)]
+
+
 def _lookup(path: str, uniq: list[str]) -> list[bytes]:
     """ids (little-endian uint32) of different chunks, new ones by the library."""
     gens = _cache(path)
     if len(gens[0]) > CACHE_CHUNKS:
         gens[:] = {}, gens[0]
     cache, old = gens
-    found = [cache.get(c) for c in uniq]
-    for i, x in enumerate(found):
-        if x is None and (x := old.get(uniq[i])) is not None:
-            found[i] = cache[uniq[i]] = x
+    found = list(map(cache.get, uniq))
     new = [i for i, x in enumerate(found) if x is None]
-    t = tokenizer(path) if new else None
-    for lo in range(0, len(new), 4096):
-        part = new[lo:lo + 4096]
-        for i, e in zip(part, t.encode_batch_fast([uniq[i] for i in part], add_special_tokens=False)):
-            found[i] = ids = np.array(e.ids, dtype="<u4").tobytes()
-            if len(uniq[i]) <= CACHE_CHARS:
-                cache[uniq[i]] = ids
+    if old:
+        for i in new:
+            if (x := old.get(uniq[i])) is not None:
+                found[i] = cache[uniq[i]] = x
+        new = [i for i in new if found[i] is None]
+    alone = new
+    if new and _byte_lengths(path) is not None:
+        joint, alone = [], []
+        for i in new:
+            (joint if _JOINT.match(uniq[i]) and uniq[i][-1].isalnum() else alone).append(i)
+        for lo in range(0, len(joint), 4096):
+            part = joint[lo:lo + 4096]
+            got = _side_by_side(path, [uniq[i] for i in part])
+            if got is None:
+                alone += part
+                continue
+            for i, ids in zip(part, got):
+                found[i] = ids
+    for lo in range(0, len(alone), 4096):
+        part = alone[lo:lo + 4096]
+        for i, ids in zip(part, _apart(path, [uniq[i] for i in part])):
+            found[i] = ids
+    for i in new:
+        if len(uniq[i]) <= CACHE_CHARS:
+            cache[uniq[i]] = found[i]
     return found
 
 

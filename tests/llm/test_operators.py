@@ -92,6 +92,37 @@ def test_every_code_point_beside_marks():
         assert not wrong, (name, len(wrong), wrong[0])
 
 
+def test_new_chunks_share_a_text(monkeypatch):
+    """Thousands of new chunks of a byte-level file take few texts of the library, and keep its ids."""
+    import pyarrow as pa
+
+    from specflow.llm import tokens
+
+    path, handed = P.path("byte_bpe_50k.json"), []
+    t = tokens.tokenizer(path)
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, texts, **more):
+            handed.append(len(texts))
+            return t.encode_batch_fast(texts, **more)
+
+    words = [f"shared{i:x}é{i % 7}" if i % 3 else f"(joint{i:x}" for i in range(6000)] + ["it's", "<|endoftext|>x", "²", "日本語1", "_a", "a_"]
+    texts = [" ".join(words[i:i + 40]) for i in range(0, len(words), 40)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for size in (tokens._byte_lengths(path), np.ones(1 << 17, np.int64)):  # ids that don't meet the chunks' ends: each chunk apart
+        tokens._cache(path)[:] = {}, {}
+        handed.clear()
+        monkeypatch.setattr(tokens, "tokenizer", lambda _: Counting())
+        monkeypatch.setattr(tokens, "_byte_lengths", lambda _, size=size: size)
+        ids, off = tokens.encode(path, pa.array(texts, pa.large_string()))
+        assert [ids[lo:hi].tolist() for lo, hi in zip(off[:-1], off[1:])] == want
+        assert (sum(handed) > 6000) == (size[0] == 1 and size.min() == 1 == size.max())
+    tokens._cache(path)[:] = {}, {}
+
+
 def test_chunks_keep_the_ids():
     import random
 
