@@ -6,15 +6,18 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specflow.session import ensure_checkpoint_dir
 
 #: Text bytes that one step of a Python operator handles at a time.
 SLICE_BYTES = 16 << 20
+#: Largest Bloom filter.
+MOST_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +45,29 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def may_be_among(key: Column, keys: DataFrame) -> Column:
+    """True where the long ``key`` is in the one column of ``keys``, and by chance for one other in 70.
+
+    A Bloom filter, which goes to every task in place of the keys: two bits of 16 to 32 a
+    key, up to ``MOST_BITS`` (16 MB); above, more keys pass by chance."""
+    name = keys.columns[0]
+    keys = keys.filter(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("key"))
+    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+    places = lambda k: [F.pmod(F.xxhash64(k, F.lit(i)), F.lit(bits)) for i in range(2)]
+    made = (keys.select(F.explode(F.array(*places(F.col("key")))).alias("at"))
+             .groupBy(F.shiftright("at", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(at % 8 as int)))").alias("on")).toArrow())
+    on = np.zeros(bits // 8, np.uint8)
+    on[made["byte"].to_numpy()] = made["on"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(on)
+
+    @F.pandas_udf("boolean")
+    def hit(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = a.to_numpy(), b.to_numpy()
+        return pd.Series((sent.value[x >> 3] >> (x & 7)) & (sent.value[y >> 3] >> (y & 7)) & 1 == 1)
+
+    return hit(*places(key))
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], col: str = "text",
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about ``limit`` text bytes."""

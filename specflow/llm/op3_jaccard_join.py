@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import byte_slices, id_text, large, materialize
+from .common import byte_slices, id_text, large, materialize, may_be_among
 from .graph import components
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -34,6 +34,8 @@ WIDEST = 1 << 20
 SMALL = 64
 #: Partners that one task compares with a set, and ends of pairs up to which the list of them is broadcast (24 bytes each).
 STAR, WIDE = 512, 500_000
+#: Sets that share a word and are listed as pairs; more of them stay a group.
+FEW = 8
 _SLICE = 2 << 20
 
 
@@ -189,7 +191,10 @@ def signatures(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _members(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(sig, sid, lead): the sets that share a word with another set, and the smallest of them."""
+    """(sig, sid, lead): the sets that share a word with another set, and the smallest of them.
+
+    Up to ``FEW`` sets of a word are listed as pairs, with a null sig: sid and each smaller set as
+    lead.  Most words are shared by two sets, and the same two share many."""
     seen = docs.sparkSession.sparkContext.broadcast(classes)
 
     def emit(batches):
@@ -204,38 +209,56 @@ def _members(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(sid))], names=["sig", "sid"])
 
+    def listed(sig, sid):
+        """Rows of whole groups."""
+        if not len(sig):
+            return
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[start, len(sig)])
+        size, leads = np.repeat(count, count), np.repeat(sid[start], count)
+        many = size > FEW
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (sig, sid, leads)], names=["sig", "sid", "lead"])
+        at = [np.flatnonzero((sig[d:] == sig[:-d]) & ~many[d:]) for d in range(1, FEW)]
+        x, y = np.concatenate(at), np.concatenate([i + d for d, i in enumerate(at, 1)])
+        pairs = pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sid[y]), pa.array(sid[x])], names=["sig", "sid", "lead"])
+        yield from pa.Table.from_batches([pairs]).to_batches(max_chunksize=1 << 16)
+
     def shared(batches):
-        """Rows come sorted; a group of one set is held until the next row shows."""
-        at = lead = last = None  # the group that may go on, its smallest and its last set
+        """Rows come sorted; the last group of a batch waits for the next one, but a group known to be large goes out as it comes."""
+        sig = sid = none = np.zeros(0, np.int64)
+        at = lead = last = None  # the large group that may go on, its smallest and its last set
         for b in batches:
-            sig, sid = b.column("sig").to_numpy(), b.column("sid").to_numpy()
-            if at is not None:
-                sig, sid = np.r_[at, sig], np.r_[last, sid]
+            if not b.num_rows:
+                continue
+            sig, sid = np.r_[sig, b.column("sig").to_numpy()], np.r_[sid, b.column("sid").to_numpy()]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])]
             sig, sid = sig[new], sid[new]
-            first = np.r_[True, sig[1:] != sig[:-1]]
-            start = np.flatnonzero(first)
-            count = np.diff(np.r_[start, len(sig)])
-            leads = np.repeat(sid[start], count)
-            more = np.repeat(count, count) > 1
-            if at is not None:  # the first group began in an earlier batch
-                leads[:count[0]] = lead
-                if lead != last:
-                    more[0] = False  # its row went out before
-                    more[1:count[0]] = True
-            hold = count[-1] == 1 and not (at is not None and len(start) == 1 and lead != last)
-            at, last, lead = sig[-1], sid[-1], leads[-1]
-            if hold:
-                more[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (sig, sid, leads)], names=["sig", "sid", "lead"])
+            if at is not None:
+                k = int(np.searchsorted(sig, at, "right"))
+                more = sid[:k][sid[:k] != last]
+                if len(more):
+                    last = more[-1]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(more), at), more, np.full(len(more), lead))], names=["sig", "sid", "lead"])
+                sig, sid = sig[k:], sid[k:]
+                if not len(sig):
+                    continue
+                at = None
+            k = int(np.searchsorted(sig, sig[-1]))
+            yield from listed(sig[:k], sid[:k])
+            sig, sid = sig[k:], sid[k:]
+            if len(sid) > FEW:
+                yield from listed(sig, sid)
+                at, lead, last = sig[0], sid[0], sid[-1]
+                sig = sid = none
+        yield from listed(sig, sid)
 
     rows = docs.mapInArrow(emit, "sig long, sid long").repartition("sig").sortWithinPartitions("sig", "sid")
     return materialize(rows.mapInArrow(shared, "sig long, sid long, lead long"), "jaccard-members")
 
 
 def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b, close) of the pairs whose sizes and dense sketches leave a link possible: whether their
-    wide sketches do so too, which large sets need as their dense ones are full."""
+    """(a, b, ham, close) of the pairs whose sizes and dense sketches (in a distance of ham) leave a link
+    possible: whether their wide sketches do so too, which large sets need as their dense ones are full."""
     side = lambda k: facts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("data").alias(f"d_{k}"), F.col("wide").alias(f"w_{k}"))
 
     def close(batches):
@@ -245,19 +268,20 @@ def _allowed(pairs: DataFrame, facts: DataFrame) -> DataFrame:
             n, m = (t.column(f"n_{k}").to_numpy() for k in "ab")
             x, y = (_Sketches(t.column(f"d_{k}").to_pylist()) for k in "ab")
             each, most = np.arange(t.num_rows), (DEN - NUM) * (n + m) // (DEN + NUM)
-            ok = np.flatnonzero((DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (x.distance(each, y, each) <= most))
+            ham = x.distance(each, y, each)
+            ok = np.flatnonzero((DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (ham <= most))
             t = t.take(pa.array(ok))
             v, w = (t.column(f"w_{k}").to_pylist() for k in "ab")
             near = [p is None or q is None or _wide_distance(p, q) <= d for p, q, d in zip(v, w, most[ok].tolist())]
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "close"])
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ham[ok]), pa.array(near, pa.bool_())], names=["a", "b", "ham", "close"])
 
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long, close boolean"), "jaccard-close")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long, ham long, close boolean"), "jaccard-close")
 
 
 def _tested(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b, linked) of the pairs that the dense sketches allow; shingles of those alone move that the wide ones allow too."""
     close = _allowed(pairs, facts)
-    return _verify(close.filter("close").select("a", "b"), docs, facts).unionByName(close.filter("not close").withColumnRenamed("close", "linked"))
+    return _verify(close.filter("close").select("a", "b"), docs, facts).unionByName(close.filter("not close").select("a", "b", F.col("close").alias("linked")))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -272,6 +296,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     to = materialize(facts.select("sid", F.col("rep").alias("doc_id")).join(to, "sid"), "jaccard-ends")
     if to.select(F.coalesce(F.sum(F.size("to")), F.lit(0))).first()[0] <= WIDE:
         to = F.broadcast(to)
+    else:
+        docs = docs.filter(may_be_among(F.col("doc_id"), to.select("doc_id")))
     meet = "a long, part int, k int, sid long, items array<long>"
 
     def send(batches):
@@ -322,8 +348,18 @@ def _merge(label: DataFrame | None, verified: DataFrame) -> DataFrame:
     return materialize(known.join(up, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")), "jaccard-labels")
 
 
-def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested: DataFrame, nearest: bool, cell: int = 2048) -> DataFrame:
-    """Untested pairs (a, b) of different components that share a word and that
+def _apart(pairs: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
+    """The pairs (a, b, ham) of different components; with ``nearest`` only each set's closest."""
+    at = lambda k: label.select(F.col("sid").alias(k), F.col("comp").alias(f"{k}_comp"))
+    pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b", "ham")
+    if not nearest:
+        return pairs
+    ends = pairs.select(F.col("a").alias("sid"), F.struct("ham", "a", "b").alias("x")).unionByName(pairs.select(F.col("b").alias("sid"), F.struct("ham", "a", "b").alias("x")))
+    return ends.groupBy("sid").agg(F.min("x").alias("x")).select("x.a", "x.b", "x.ham").distinct()
+
+
+def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, nearest: bool, cell: int = 2048) -> DataFrame:
+    """Pairs (a, b, ham) of different components within the groups of more than ``FEW`` sets that share a word, as far as
     size and dense sketch allow; with ``nearest`` only each set's closest in a cell.
 
     Groups with one component are done.  Larger groups than ``cell`` are cut into
@@ -385,9 +421,8 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, tested:
         if held is not None and (out := pairs(*held)) is not None:
             yield out
 
-    found = (m.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "sid")
-             .mapInArrow(run, "a long, b long, ham long").distinct())
-    return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return (m.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "sid")
+            .mapInArrow(run, "a long, b long, ham long").distinct())
 
 
 def _joined(docs: DataFrame, nearest_rounds: int) -> DataFrame:
@@ -401,16 +436,20 @@ def _joined(docs: DataFrame, nearest_rounds: int) -> DataFrame:
     first = members.filter("lead <> sid").groupBy("sid").agg(F.min("lead").alias("lead"))
     tested = _tested(first.select(F.col("lead").alias("a"), F.col("sid").alias("b")), docs, facts)
     label = _merge(None, tested)
+    listed = members.filter("sig is null").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+    listed = _allowed(listed, facts).filter("close").select("a", "b", "ham")
+    members = members.filter("sig is not null")
     # first each set's closest candidates, which merge most components; then all that are left
     for nearest in [True] * nearest_rounds + [False]:
-        more = materialize(_candidates(members, facts.select("sid", "n", "data"), label, tested, nearest), "jaccard-pairs")
-        if more.isEmpty():
+        found = _candidates(members, facts.select("sid", "n", "data"), label, nearest).unionByName(_apart(listed, label, nearest)).distinct()
+        found = materialize(found, "jaccard-pairs")
+        if found.isEmpty():
             break
-        new = _tested(more.select("a", "b"), docs, facts)
+        new = _tested(found.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), docs, facts)
         label = _merge(label, new)
         tested = tested.union(new)
-        if nearest:  # a set without a closest candidate has none at all, and components only grow
-            ends = more.select(F.col("a").alias("sid")).union(more.select("b")).distinct()
+        if nearest:  # a set without a closest candidate, tested before or not, has none at all, and components only grow
+            ends = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct()
             members = members.join(ends, "sid", "left_semi").select("sig", "sid")
     reps = facts.select("sid", "rep").join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -446,8 +485,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = got.groupBy("doc_id").agg(F.sum("m").alias("m")).filter("m > 1").select(F.col("doc_id").alias("_shared"))
     lost = got.filter("sid is not null and component_id < doc_id").select(F.col("doc_id").alias("_lost"), F.col("sid").alias("_lost_sid"))
     key = F.col(id_col).cast("long")
-    if shared.isEmpty():
-        return docs.join(lost, key == F.col("_lost"), "left_anti")
+    if shared.isEmpty():  # texts that stay don't move, but for the few that the filter suspects
+        suspect = may_be_among(key, lost.select("_lost"))
+        return docs.filter(~suspect).unionByName(docs.filter(suspect).join(lost, key == F.col("_lost"), "left_anti"))
     own, rank = "_sid", "_rank"
     while own in docs.columns or rank in docs.columns:
         own, rank = own + "_", rank + "_"

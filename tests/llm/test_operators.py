@@ -332,6 +332,48 @@ def test_shingles_of_large_sets_stay(spark, monkeypatch):
     assert 2 <= sum(moved) <= 3
 
 
+def test_words_of_few_sets_become_pairs(spark, monkeypatch):
+    """Up to FEW sets that share a word are listed as pairs, which become few; more stay a group. Batches may cut groups."""
+    import specflow.llm.op3_jaccard_join as op
+
+    rows = [(10 * i + j, prose(700 + i, 40) + " " + prose(720 + 10 * i + j, 8 + 3 * j)) for i in range(4) for j in range(4)]
+    rows += [(100 + i, prose(760, 12) + " " + prose(770 + i, 5)) for i in range(9)]
+    at = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    classes = np.zeros(op.COUNTERS, np.uint8)
+    groups = defaultdict(set)
+    for _, sets in op._sets(at.toArrow().to_batches()):
+        for s in sets:
+            for sig in op.signatures(s, classes).view(np.int64).tolist():
+                groups[sig].add(op._set_id(s))
+    for few, batch in ((8, 10000), (2, 7), (100, 1)):
+        monkeypatch.setattr(op, "FEW", few)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = op._members(at, classes).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r["sig"], r["sid"], r["lead"]) for r in got if r["sig"] is not None) == sorted((k, x, min(g)) for k, g in groups.items() if len(g) > few for x in g)
+        pairs = {(x, y) for g in groups.values() if len(g) <= few for x in g for y in g if x < y}
+        assert {(r["lead"], r["sid"]) for r in got if r["sig"] is None} == pairs and 0 < len(pairs) < len(got)
+
+
+def test_texts_that_stay_do_not_move(spark):
+    """Only rows whose id a filter of the lost ids suspects meet those by a join."""
+    from specflow.llm.common import may_be_among
+    from specflow.llm.op3_jaccard_join import one_of_each
+
+    ids = spark.range(-3000, 3000).union(spark.sql("SELECT CAST(NULL AS long)"))
+    keys = ids.filter("id % 10 = 0 OR id IS NULL")
+    passed = ids.filter(may_be_among(F.col("id"), keys))
+    assert keys.join(passed, "id", "left_anti").filter("id IS NOT NULL").isEmpty() and passed.count() < 600 + 5400 / 20
+    assert ids.filter(may_be_among(F.col("id"), keys.limit(0))).isEmpty()
+    rows = [(i, prose(800 + i % 30, 40), i) for i in range(40)] + [(None, prose(800, 40), 50)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join LeftAnti[\s\S]*hit\(", plan) and "Union" in plan
+    assert sorted(r["n"] for r in got.collect()) == [*range(30), 50]
+
+
 # ------------------------------------------------------------------ 4
 def test_warc(spark):
     from specflow.llm.op4_warc import parse_records, read_records, warc_round_trip, write_archive
