@@ -11,6 +11,7 @@ decide.  Equal sets are one class from the start.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -36,7 +37,8 @@ SMALL = 64
 STAR, WIDE = 512, 500_000
 #: Sets that share a word and are listed as pairs; more of them stay a group.
 FEW = 8
-_SLICE = 2 << 20
+#: Text bytes of a step, pairs of a group that wait at a time (32 bytes each), and shingles that leave at a time.
+_SLICE, PAIRS, SENT = 1 << 20, 1 << 18, 1 << 20
 
 
 def most_difference(a: int, b: int) -> int:
@@ -305,12 +307,15 @@ def _verify(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
             # a repeated doc_id may bring another text: only the set itself counts
             out = [(t, i, s.view(np.int64)) for i, to, s in zip(b.column("sid").to_pylist(), b.column("to").to_pylist(), sets)
                    if len(s) and _set_id(s) == i for t in to]
-            if out:
-                off = np.r_[0, np.cumsum([len(s) for *_, s in out])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t["a"] for t, *_ in out], pa.int64()), pa.array([t["part"] for t, *_ in out], pa.int32()), pa.array([t["k"] for t, *_ in out], pa.int32()),
-                     pa.array([i for _, i, _ in out], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for *_, s in out])))],
-                    names=["a", "part", "k", "sid", "items"])
+            size = np.cumsum([len(s) for *_, s in out])
+            cuts = np.flatnonzero(np.diff(size // SENT)) + 1 if out else []
+            for lo, hi in itertools.pairwise([0, *cuts, len(out)]):
+                if part := out[lo:hi]:
+                    off = np.r_[0, np.cumsum([len(s) for *_, s in part])].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t["a"] for t, *_ in part], pa.int64()), pa.array([t["part"] for t, *_ in part], pa.int32()), pa.array([t["k"] for t, *_ in part], pa.int32()),
+                         pa.array([i for _, i, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s for *_, s in part])))],
+                        names=["a", "part", "k", "sid", "items"])
 
     def compare(batches):
         at = held = last = None
@@ -358,6 +363,58 @@ def _apart(pairs: DataFrame, label: DataFrame, nearest: bool) -> DataFrame:
     return ends.groupBy("sid").agg(F.min("x").alias("x")).select("x.a", "x.b", "x.ham").distinct()
 
 
+def _closest(cell: np.ndarray, a: np.ndarray, b: np.ndarray, ham: np.ndarray) -> list[np.ndarray]:
+    """The pairs that are the closest of one of their ends in their cell."""
+    ends, at = np.r_[a, b], np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((b[at], a[at], ham[at], ends, cell[at]))
+    best = np.r_[True, (ends[order][1:] != ends[order][:-1]) | (cell[at][order][1:] != cell[at][order][:-1])]
+    keep = np.unique(at[order][best])
+    return [x[keep] for x in (cell, a, b, ham)]
+
+
+def _near_pairs(sig, i, j, own, sid, comp, n, data: _Sketches, nearest: bool):
+    """Batches (a, b, ham) of all pairs of a run of whole cells, by the distance of their rows: the rows that
+    still have a partner so far on are compared at once.  About ``PAIRS`` pairs wait at a time: with ``nearest``
+    only the closest of each set's go on waiting, without they leave."""
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    first = np.flatnonzero(new)
+    cell = np.cumsum(new)
+    end = np.repeat(np.r_[first[1:], len(sig)], np.diff(np.r_[first, len(sig)]))
+    x, d, out, held, most = np.arange(len(sig)), 0, [], 0, PAIRS
+
+    def batch(a, b, ham):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, ham)], names=["a", "b", "ham"])
+
+    while True:
+        d += 1
+        x = x[x + d < end[x]]
+        if not len(x):
+            break
+        y = x + d
+        ok = (comp[x] != comp[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & ((i[x] == j[x]) | (own[x] != own[y]))
+        p, q = x[ok], y[ok]
+        for lo in range(0, len(p), 1 << 16):
+            u, v = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
+            ham = data.distance(u, data, v)
+            near = ham <= (DEN - NUM) * (n[u] + n[v]) // (DEN + NUM)
+            u, v = u[near], v[near]
+            out.append([cell[u], np.minimum(sid[u], sid[v]), np.maximum(sid[u], sid[v]), ham[near]])
+            held += len(u)
+        if held >= most:
+            found = [np.concatenate(c) for c in zip(*out)]
+            if nearest:
+                out = [_closest(*found)]
+                held = len(out[0][0])
+                most = PAIRS + held
+            else:
+                yield batch(*found[1:])
+                out, held = [], 0
+    if out:
+        found = [np.concatenate(c) for c in zip(*out)]
+        if len(found[0]):
+            yield batch(*(_closest(*found) if nearest else found)[1:])
+
+
 def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, nearest: bool, cell: int = 2048) -> DataFrame:
     """Pairs (a, b, ham) of different components within the groups of more than ``FEW`` sets that share a word, as far as
     size and dense sketch allow; with ``nearest`` only each set's closest in a cell.
@@ -371,38 +428,6 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, nearest:
     m = m.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     m = m.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "data")
 
-    def pairs(sig, i, j, own, sid, comp, n, data):
-        """All pairs of a run of whole cells, by the distance of their rows: the rows that still
-        have a partner so far on are compared at once."""
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        first = np.flatnonzero(new)
-        cell = np.cumsum(new)
-        end = np.repeat(np.r_[first[1:], len(sig)], np.diff(np.r_[first, len(sig)]))
-        x, out, d = np.arange(len(sig)), [], 0
-        while True:
-            d += 1
-            x = x[x + d < end[x]]
-            if not len(x):
-                break
-            y = x + d
-            ok = (comp[x] != comp[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & ((i[x] == j[x]) | (own[x] != own[y]))
-            p, q = x[ok], y[ok]
-            for lo in range(0, len(p), 1 << 16):
-                u, v = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
-                ham = data.distance(u, data, v)
-                near = ham <= (DEN - NUM) * (n[u] + n[v]) // (DEN + NUM)
-                out.append((cell[u[near]], np.minimum(sid[u[near]], sid[v[near]]), np.maximum(sid[u[near]], sid[v[near]]), ham[near]))
-        if not out:
-            return None
-        cell, a, b, ham = (np.concatenate(c) for c in zip(*out))
-        if nearest and len(a):
-            ends, at = np.r_[a, b], np.tile(np.arange(len(a)), 2)
-            order = np.lexsort((b[at], a[at], ham[at], ends, cell[at]))
-            best = np.r_[True, (ends[order][1:] != ends[order][:-1]) | (cell[at][order][1:] != cell[at][order][:-1])]
-            keep = np.unique(at[order][best])
-            a, b, ham = a[keep], b[keep], ham[keep]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, ham)], names=["a", "b", "ham"]) if len(a) else None
-
     def run(batches):
         """Whole cells of each batch; the last cell waits for the next one."""
         held = None
@@ -416,10 +441,10 @@ def _candidates(members: DataFrame, facts: DataFrame, label: DataFrame, nearest:
             last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])
             cut = len(last) - int(last.sum())
             held = [r[cut:] for r in rows]
-            if cut and (out := pairs(*(r[:cut] for r in rows))) is not None:
-                yield out
-        if held is not None and (out := pairs(*held)) is not None:
-            yield out
+            if cut:
+                yield from _near_pairs(*(r[:cut] for r in rows), nearest)
+        if held is not None:
+            yield from _near_pairs(*held, nearest)
 
     return (m.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "sid")
             .mapInArrow(run, "a long, b long, ham long").distinct())

@@ -28,9 +28,9 @@ from .shingles import MARKS, mix, word_hashes
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 K1, B = 1.2, 0.75
-_SLICE = 4 << 20
-#: Block hits that are summed at a time, and rows that leave at a time.
-_HITS, _ROWS = 1 << 22, 1 << 16
+_SLICE = 1 << 20
+#: Block hits that are summed at a time (60 bytes each), most sums that are kept as one array, and rows that leave at a time.
+_HITS, _SUMS, _ROWS = 1 << 19, 1 << 21, 1 << 16
 #: Words of a part of which one may differ: it is in 3 of 8 three-word runs.
 _PART = 10
 
@@ -194,7 +194,7 @@ class Index:
         at = np.arange(count.sum()) + np.repeat(self.post[term] - np.r_[0, np.cumsum(count)][:-1], count)
         key = np.repeat(cell, count) * self.blocks + self.post_block[at]
         total = (hi + 1 - lo) * self.blocks
-        if total <= 1 << 24:
+        if total <= _SUMS:
             bound = np.bincount(key, weights=self.most[at], minlength=total)
             own = np.flatnonzero(bound)
             value = bound[own]

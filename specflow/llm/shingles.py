@@ -29,11 +29,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that a worker keeps (20 MB); more are made for one slice of texts only.
+_KEPT = 5 << 18
+
+
 @functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.full(n, _R), np.full(n, _R_INV)
     a[0] = b[0] = 1
-    return np.multiply.accumulate(a), np.multiply.accumulate(b)
+    return np.multiply.accumulate(a, out=a), np.multiply.accumulate(b, out=b)
 
 
 def word_hashes(col: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -43,9 +47,10 @@ def word_hashes(col: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    power, back = _powers(1 << (n - 1).bit_length())
+    power, back = _powers(_KEPT) if n <= _KEPT else _powers.__wrapped__(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * power[:n], out=total[1:])
+    np.multiply(_VALUE[raw], power[:n], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     space = between[raw]
     cut = np.zeros(n + 1, bool)
     cut[off] = True

@@ -308,6 +308,51 @@ def test_jaccard_group_of_near_copies(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
 
 
+def test_pairs_of_a_large_group_wait_in_part(monkeypatch):
+    """The pairs of a group of near copies are those of brute force however few wait, and memory doesn't grow with all of them."""
+    import tracemalloc
+
+    import specflow.llm.op3_jaccard_join as op
+
+    r = np.random.default_rng(8)
+
+    def cells(*sizes):
+        n = sum(sizes)
+        bits = np.repeat(r.integers(0, 2, (1, 512)), n, axis=0) ^ (r.random((n, 512)) < r.choice([0.01, 0.15], (n, 1)))
+        sid, comp = r.permutation(5 * n)[:n] - 2 * n, r.integers(0, max(2, n // 2), n)
+        sig, zero = np.repeat(np.arange(len(sizes)), sizes), np.zeros(n, np.int64)
+        return sig, zero, zero, zero, sid, comp, r.integers(250, 350, n), op._Sketches([np.packbits(x).tobytes() for x in bits])
+
+    def brute(sig, i, j, own, sid, comp, n, data, nearest):
+        found, each = set(), np.arange(len(sig))
+        for x in each:
+            for y, ham in zip(each, data.distance(np.full(len(sig), x), data, each).tolist()):
+                if x < y and sig[x] == sig[y] and comp[x] != comp[y] and 100 * min(n[x], n[y]) >= 75 * max(n[x], n[y]) and ham <= op.most_difference(int(n[x]), int(n[y])):
+                    found.add((int(sig[x]), ham, *sorted((int(sid[x]), int(sid[y])))))
+        if nearest:
+            best = {}
+            for f in found:
+                for end in f[2:]:
+                    best[f[0], end] = min(best.get((f[0], end), f), f)
+            found = set(best.values())
+        return sorted((a, b, ham) for _, ham, a, b in found)
+
+    made = cells(40, 1, 70, 2, 25)
+    for most in (1, 300, 1 << 18):
+        monkeypatch.setattr(op, "PAIRS", most)
+        for nearest in (True, False):
+            got = [tuple(x.values()) for b in op._near_pairs(*made, nearest) for x in b.to_pylist()]
+            assert sorted(got) == brute(*made, nearest) and len(got) > 60
+    made = cells(2048)
+    for nearest in (True, False):
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in op._near_pairs(*made, nearest))
+            assert tracemalloc.get_traced_memory()[1] < 64e6 and rows >= 1000
+        finally:
+            tracemalloc.stop()
+
+
 def test_shingles_of_large_sets_stay(spark, monkeypatch):
     """Large texts that share a passage only are told apart by their sketches, so their shingles don't move."""
     import specflow.llm.op3_jaccard_join as op
@@ -565,6 +610,28 @@ def test_block_bounds_with_common_terms_only(monkeypatch, hits):
     assert got == want and {(d, d) for d in range(50)} <= {x[:2] for x in got}
 
 
+def test_passages_meet_the_index_in_little_memory():
+    """A worker keeps what a slice of texts needs, so 8 MB of them take a part of 100 MB, tables of hashing included."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from specflow.llm import op8_decontamination as o
+    from specflow.llm import shingles
+    from specflow.llm.common import byte_slices
+
+    index = o.Index(list(range(200)), [prose(2600 + i, 20 + i % 40) for i in range(200)], 0.6, 8, 0.1)
+    texts = pa.array([prose(3500 + i % 50, 300) for i in range(6000)], pa.large_string())
+    assert texts.nbytes > 8 << 20
+    shingles._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        for b in byte_slices([pa.RecordBatch.from_arrays([texts], names=["text"])], limit=o._SLICE):
+            index.find(b.column("text"))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_items_with_a_changed_word_are_found():
     """One word changed, dropped or put in at each place, whatever the length of the last sentence."""
     import pyarrow as pa
